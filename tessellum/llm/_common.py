@@ -36,11 +36,6 @@ def stored(df: DataFrame, purpose: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ensure_partitions(df: DataFrame, rows: int = 2000) -> DataFrame:
-    """Left as it is: file splits decide the number of tasks (kept as one place to change it)."""
-    return df
-
-
 def map_batches(df: DataFrame, columns: list[str], fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` over exactly ``columns``, so that nothing else leaves the scan."""
     return df.select(*columns).mapInArrow(fn, schema)
@@ -57,11 +52,14 @@ class Memo(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+        self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
         if len(self) >= self.bound:
             self.old = dict(self)
             self.clear()
         self[key] = value
-        return value
 
 
 def crc_mod(column: str, n: int):
