@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, wavelet
-from ._common import table
+from . import bpe, langid, toxicity, wavelet
+from ._common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,3 +29,21 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = wavelet.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return wavelet.read_shards(spark, path)
+
+
+def _held_out(docs: DataFrame, n: int, rest: int) -> DataFrame:
+    return docs.withColumn("held_out", F.coalesce(crc_mod("doc_id", n) == rest, F.lit(False)))
+
+
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _held_out(table(spark, sf_dir, "documents"), 4, 2)
+    model = langid.fit(langid.sample(docs.where("not held_out"), per_lang=400))
+    return langid.predict(docs, model, keep=["held_out"])
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _held_out(table(spark, sf_dir, "documents"), 5, 0)
+    model = toxicity.fit(*toxicity.sample(docs.where("not held_out"), table(spark, sf_dir, "labels"), bound=8000))
+    return toxicity.score(docs, model, keep=["held_out"])
