@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, toxicity, wavelet
-from ._common import crc_mod, table
+from . import bpe, html_text, langid, rollup, toxicity, wavelet
+from ._common import crc_mod, shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,3 +47,36 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _held_out(table(spark, sf_dir, "documents"), 5, 0)
     model = toxicity.fit(*toxicity.sample(docs.where("not held_out"), table(spark, sf_dir, "labels"), bound=8000))
     return toxicity.score(docs, model, keep=["held_out"])
+
+
+@query
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
+@query
+def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents arrive with provisional counts and no language, are recounted, and those without text are deleted; one batch is sent twice."""
+    docs, root = table(spark, sf_dir, "documents"), shared_dir(spark, "token-rollup")
+    guess = {v: (lambda text: F.ceil(F.char_length(text) / 5)) for v in rollup.COUNTERS}
+    load = rollup.inserted(rollup.count(docs, guess).withColumn("lang", F.lit(None).cast("string")))
+    rollup.commit(spark, root, "0-load", load)
+    old = docs.withColumn("old_n_tokens", F.ceil(F.char_length("text") / 5)).select("doc_id", "source", "lang", "text", "old_n_tokens")
+    of = F.array(*(F.struct(F.lit(v).alias("tokenizer_version"), F.coalesce(f(F.col("text")), F.lit(0)).cast("bigint").alias("n_tokens")) for v, f in rollup.COUNTERS.items()))
+    pairs = old.select("source", "lang", F.col("source").alias("old_source"), F.lit(None).cast("string").alias("old_lang"), "old_n_tokens", F.inline(of)).withColumn("old_tokenizer_version", F.col("tokenizer_version"))
+    rollup.commit(spark, root, "1-recount", rollup.revised(pairs))
+    rollup.commit(spark, root, "0-load", load)
+    empty = docs.where(F.coalesce(F.char_length("text"), F.lit(0)) == 0)
+    rollup.commit(spark, root, "2-purge", rollup.deleted(rollup.count(empty)))
+    return rollup.totals(spark, root)
+
+
+ORACLES["op5_token_rollup"] = r"""
+    SELECT source, lang, tokenizer_version, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens
+    FROM (SELECT source, lang, unnest([
+            {'tokenizer_version': 'words-1', 'n': len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))},
+            {'tokenizer_version': 'chars-1', 'n': length(text)},
+            {'tokenizer_version': 'bytes-1', 'n': strlen(text)}], recursive := true)
+          FROM documents WHERE text <> '')
+    GROUP BY ALL
+"""
