@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, langid, rollup, toxicity, wavelet
+from . import bpe, hilbert, html_text, langid, rollup, toxicity, wavelet
 from ._common import crc_mod, shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,8 @@ ORACLES["op5_token_rollup"] = r"""
           FROM documents WHERE text <> '')
     GROUP BY ALL
 """
+
+
+@query
+def op3_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.search(table(spark, sf_dir, "embeddings"))
