@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -36,6 +37,12 @@ def stored(df: DataFrame, purpose: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Shuffle files of finished steps go once the driver has collected their plans; long jobs need not wait for that to happen."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def map_batches(df: DataFrame, columns: list[str], fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` over exactly ``columns``, so that nothing else leaves the scan."""
     return df.select(*columns).mapInArrow(fn, schema)

@@ -7,7 +7,7 @@ gets two blocks at most and every pair of members still meets once.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +17,15 @@ from pyspark.sql import functions as F
 from ._common import stored
 
 
-def in_blocks(rows: DataFrame, key: str, block: int) -> DataFrame:
+def in_blocks(rows: DataFrame, key: str, block: int, share: int = 16) -> DataFrame:
     """``rows`` (with ``id``) plus ``bi``, ``bj`` and ``blk``: each pair of blocks of a key is a group, ``blk`` the member's own block.
 
-    Only the keys of more than ``block`` rows are joined; their table is written, so that its size decides whether Spark may broadcast it.
+    Hot keys are told by the members with one in ``share`` of all ids, so that no full
+    count is shuffled; that decides on the dealing alone, never on the result. Their
+    table is written, so that its size decides whether Spark may broadcast it.
     """
-    hot = stored(rows.groupBy(key).agg(F.count("*").alias("members")).where(F.col("members") > block), "hot-keys")
+    seen = rows.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(share)) == 0).groupBy(key).agg((F.count("*") * share).alias("members"))
+    hot = stored(seen.where(F.col("members") > block), "hot-keys")
     none = rows.withColumns({"bi": F.lit(0), "bj": F.lit(0), "blk": F.lit(0)})
     if hot.isEmpty():
         return none
@@ -37,7 +40,7 @@ def grouped(rows: DataFrame, key: str) -> DataFrame:
     return rows.repartition(key, "bi", "bj").sortWithinPartitions(key, "bi", "bj", "id")
 
 
-def each_group(batches: Iterator[pa.RecordBatch], key: str, small: Callable | None = None) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+def each_group(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
     """Sorted batches as tables of whole groups, with the starts and sizes of their groups; singles are skipped."""
     held: list[pa.RecordBatch] = []
 
