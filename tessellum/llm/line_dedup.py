@@ -81,7 +81,7 @@ class Tokens:
         sizes = np.array([len(w) for w in words], np.int64)
         flat = np.fromiter(map(self.memo.__getitem__, itertools.chain.from_iterable(words)), np.uint64, int(sizes.sum()))
         line = np.repeat(np.arange(len(lines)), sizes)
-        order = np.lexsort((flat, line))
+        order = _by_line(flat, line)
         flat = flat[order]
         new = np.ones(len(flat), bool)
         new[1:] = (flat[1:] != flat[:-1]) | (line[1:] != line[:-1])
@@ -89,6 +89,12 @@ class Tokens:
         return flat[new], np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
 
 
+def _by_line(values: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Order by line, then value; ``line`` already ascends, and a stable sort of small integers is a radix sort."""
+    order = np.argsort(values)
+    return order[np.argsort(line[order].astype(np.uint16) if len(line) and line[-1] < 65536 else line[order], kind="stable")]
+
+
 def prefix_size(n: np.ndarray) -> np.ndarray:
     return n - -(-n * NUM // DEN) + 1
 
@@ -98,12 +104,12 @@ def least_overlap(n: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 
 def bitmaps(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """64 bits a line, one set by each token."""
+    """64 bits a line, one flipped by each token: two sets differ in as many tokens at least as their bitmaps in bits."""
     bits = np.uint64(1) << ((tokens * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58))
     out = np.zeros(len(offsets) - 1, np.uint64)
     some = np.flatnonzero(np.diff(offsets))
     if len(some):
-        out[some] = np.bitwise_or.reduceat(bits, offsets[some])
+        out[some] = np.bitwise_xor.reduceat(bits, offsets[some])
     return out
 
 
@@ -159,10 +165,18 @@ def candidates(classes: DataFrame) -> DataFrame:
                 differ = np.bitwise_count(bits[x] ^ bits[y]).astype(np.int64)  # noqa: B023
                 return (np.minimum(n[x], n[y]) >= least) & (most >= least) & (n[x] + n[y] - differ >= 2 * least)  # noqa: B023
 
-            two = starts[sizes == 2]
-            two = two[near(two, two + 1)]
-            out = list(zip(ids[two].tolist(), ids[two + 1].tolist(), strict=True))
-            for a, m in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+            out: list[tuple[int, int]] = []
+            place = np.arange(len(ids)) - np.repeat(starts, sizes)
+            left = np.repeat(sizes, sizes) - place
+            across = bi != bj
+            at = np.flatnonzero(np.repeat(sizes <= 64, sizes))
+            for d in range(1, 64):  # all pairs of small groups at once, by their distance
+                at = at[left[at] > d]
+                if not len(at):
+                    break
+                ok = near(at, at + d) & (~across[at] | (blk[at] != blk[at + d]))
+                out += list(zip(ids[at[ok]].tolist(), ids[at[ok] + d].tolist(), strict=True))
+            for a, m in zip(starts[sizes > 64].tolist(), sizes[sizes > 64].tolist(), strict=True):
                 at = np.arange(a, a + m)
                 ok = near(at[:, None], at[None, :])
                 if bi[a] != bj[a]:
@@ -217,7 +231,7 @@ def similar_classes(docs: DataFrame, members: DataFrame, frequent: dict[int, int
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out]) for k in range(3)], names=["id", "links", "earlier"])
 
     wanted = members.groupBy("doc_id").agg(F.collect_list(F.struct("cluster", "id", "tie", "line")).alias("wanted"))  # at most a document's lines
-    lines = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(fetch, "cluster bigint, id bigint, doc_id bigint, tie bigint, line int, tokens array<bigint>")
+    lines = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "wanted").mapInArrow(fetch, "cluster bigint, id bigint, doc_id bigint, tie bigint, line int, tokens array<bigint>")
     found = grouped(in_blocks(stored(lines, "line-sets"), "cluster", BLOCK), "cluster").mapInArrow(verify, "id bigint, links bigint, earlier boolean")
     return found.groupBy("id").agg(F.sum("links").alias("links"), F.max("earlier").alias("earlier"))
 
@@ -228,6 +242,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     docs = docs.drop("n_lines", "n_removed", "n_links", "_marks", "_doc")
     names = docs.columns
     frequent = frequent_words(docs)
+    # What is joined below grows with the documents: merge joins at every size, never a broadcast.
     lines = numbered_lines(docs, frequent)
     first = F.min(F.struct("doc_id", "tie", "line", "n", "bits", "prefix")).alias("f")
     classes = stored(lines.groupBy("set_hash").agg(first).select("set_hash", "f.*").withColumn("id", F.monotonically_increasing_id()), "line-classes")
@@ -239,7 +254,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     release(spark)
     known = classes.select("set_hash", "id", F.struct("doc_id", "tie", "line").alias("first")).join(links, "id", "left")
     verdicts = known.select("set_hash", "first", F.coalesce("earlier", F.lit(False)).alias("earlier"), F.coalesce("links", F.lit(0)).alias("links"))
-    judged = lines.select("doc_id", "tie", "line", "set_hash").join(verdicts, "set_hash")
+    judged = lines.select("doc_id", "tie", "line", "set_hash").join(verdicts.hint("merge"), "set_hash")
     gone = judged.withColumn("gone", F.col("earlier") | (F.col("first") != F.struct("doc_id", "tie", "line"))).where("gone or links > 0")
     marks = stored(gone.groupBy("doc_id", "tie").agg(F.collect_list(F.when(F.col("gone"), F.col("line"))).alias("gone"), F.sum("links").alias("links")), "line-marks")
     release(spark)
@@ -263,6 +278,6 @@ def dedup(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(links, pa.int64())], names=[*names, "n_lines", "n_removed", "n_links"])
 
     by_doc = marks.groupBy("doc_id").agg(F.collect_list(F.struct("tie", "gone", "links")).alias("_marks")).withColumnRenamed("doc_id", "_doc")
-    joined = docs.join(by_doc, docs["doc_id"] == by_doc["_doc"], "left").select(*(docs[c] for c in docs.columns), "_marks")
+    joined = docs.join(by_doc.hint("merge"), docs["doc_id"] == by_doc["_doc"], "left").select(*(docs[c] for c in docs.columns), "_marks")
     head = ", ".join(f"`{c}` {k}" for c, k in docs.dtypes)
     return joined.mapInArrow(cut, f"{head}, n_lines bigint, n_removed bigint, n_links bigint")

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Memo, map_batches, stored
+from ._common import Memo, map_batches, release, stored
 from ._similar import components, each_group, edges_of, grouped, in_blocks, linked_pairs
 
 CHUNKS, SLOTS, ERRORS = 8, 5, 1
@@ -203,8 +203,9 @@ def shingle_sets(docs: DataFrame, clusters: DataFrame, width: int) -> DataFrame:
                 sets = shingler.sets(b.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column("component"), b.column("id"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["cluster", "id", "tokens"])
 
-    chosen = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(clusters, "id")
-    return chosen.select("component", "id", "text").mapInArrow(run, "cluster bigint, id bigint, tokens array<bigint>")
+    # The clusters grow with the documents: a merge join at every size, never a broadcast. Stored, as dealing out reads them twice.
+    chosen = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(clusters.hint("merge"), "id")
+    return stored(chosen.select("component", "id", "text").mapInArrow(run, "cluster bigint, id bigint, tokens array<bigint>"), "shingle-sets")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -213,9 +214,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     live = rows.where("set_hash is not null and doc_id is not null")
     reps = stored(live.groupBy("set_hash").agg(F.min(F.struct("doc_id", "sig")).alias("r")).select("set_hash", F.col("r.doc_id").alias("id"), F.col("r.sig").alias("sig")), "classes")
     clusters = components(candidates(reps))
+    release(docs.sparkSession)
     links = components(exact_links(shingle_sets(docs, clusters, width), num, den))
+    release(docs.sparkSession)
     named = reps.select("set_hash", "id").join(links, "id", "left").select("set_hash", F.coalesce("component", "id").alias("component"))
     # Rows without a class get a key of their own, so that they don't meet in one task.
     keyed = rows.select("doc_id", "n_shingles", F.coalesce("set_hash", F.col("doc_id").cast("string").cast("binary")).alias("set_hash"))
-    ids = keyed.join(named, "set_hash", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    ids = keyed.join(named.hint("merge"), "set_hash", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return ids.withColumn("kept", F.col("doc_id") == F.col("component_id"))

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -179,50 +180,64 @@ class WaveletMatrix:
         return value
 
 
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
+
+
 class WordEncoder:
-    """The tokenizers library behind a cache of runs of non-space, whose encodings are independent of each other."""
+    """The tokenizers library behind a cache of runs of non-space, whose encodings are independent of each other.
+
+    A lower-case word of letters alone, which normalisation and pre-tokenisation leave
+    as it is, goes straight to the library's model; any other run takes the whole way.
+    """
 
-    def __init__(self, path: str, memo: int = 400_000):
+    def __init__(self, path: str, memo: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = False
+        self.model = self.library.model
         self.bits = max(1, int(self.library.get_vocab_size() - 1).bit_length())
         self.kind = np.dtype("<u2" if self.bits <= 16 else "<u4")
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.memo = Memo(lambda w: self._raw([w])[0], memo)
+        self.letters = _byte_letters()
+        code = "H" if self.bits <= 16 else "I"
+        self.pack = lambda ids: struct.pack(f"<{len(ids)}{code}", *ids)
+        self.memo = Memo(self._run, memo)
 
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, text: str) -> bytes:
+        return np.asarray(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    @staticmethod
-    def _parts(word: str) -> tuple[str, ...]:
-        """Splits off one full stop or comma after letters, which the pre-tokenizer does too; ASCII letters lower their case alone."""
-        stem = word[:-1] if word[-1] in ".," else word
+    def _run(self, run: str) -> bytes:
+        """Ids of a run of non-space; a full stop or comma after letters is a pre-token of its own, and ASCII letters lower their case alone."""
+        stem = run[:-1] if run[-1] in ".," else run
         if not stem.isalpha():
-            return (word,)
+            return self._whole(run)
         low = stem.lower() if stem.isascii() else stem
-        return (low,) if stem is word else (low, word[-1])
+        if stem is not run:
+            return self.memo[low] + self.memo[run[-1]]
+        if low != run:
+            return self.memo[low]
+        if run.isascii():
+            pieces = self.model.tokenize(run)
+        elif run.islower() and run == run.lower() and unicodedata.is_normalized("NFC", run):
+            pieces = self.model.tokenize("".join(map(self.letters.__getitem__, run.encode())))
+        else:
+            return self._whole(run)
+        return self.pack([p.id for p in pieces])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed ids of each text."""
-        memo = self.memo
-        words = [None if t and (any(s in t for s in self.special) or any(c in t for c in _ODD_SPACES)) else (t or "").split() for t in texts]
-        seen = lambda w: w in memo or w in memo.old
-        new = {w: self._parts(w) for ws in words if ws for w in ws if not seen(w)}
-        lack = list({p for parts in new.values() for p in parts if not seen(p)})
-        found: dict[str, bytes] = {}
-        for at in range(0, len(lack), 20_000):
-            part = lack[at : at + 20_000]
-            found.update(zip(part, self._raw(part), strict=True))
-        for w, parts in new.items():
-            memo.put(w, b"".join(found[p] if p in found else memo[p] for p in parts))
-        for p, ids in found.items():
-            if p not in new:
-                memo.put(p, ids)
-        look = memo.__getitem__
-        return [self._raw([t])[0] if ws is None else b"".join(map(look, ws)) for t, ws in zip(texts, words, strict=True)]
+        look, out = self.memo.__getitem__, []
+        for t in texts:
+            if t and (any(s in t for s in self.special) or any(c in t for c in _ODD_SPACES)):
+                out.append(self._whole(t))
+            else:
+                out.append(b"".join(map(look, t.split())) if t else b"")
+        return out
 
 
 @lru_cache(maxsize=2)
