@@ -98,8 +98,10 @@ def _matrix(b: pa.RecordBatch, id_col: str, vec_col: str, size: int | None) -> t
     """Ids and usable vectors of a batch."""
     ids, rows = b.column(id_col).to_pylist(), b.column(vec_col).to_pylist()
     good = [(i, v) for i, v in zip(ids, rows, strict=True) if i is not None and v and (size is None or len(v) == size) and None not in v]
-    x = np.array([v for _, v in good], dtype=np.float64).reshape(len(good), -1)
-    ok = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1) if len(good) else np.zeros(0, bool)
+    if not good:
+        return np.zeros(0, np.int64), np.zeros((0, size or 0))
+    x = np.array([v for _, v in good], dtype=np.float64)
+    ok = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
     return np.array([i for i, _ in good], np.int64)[ok], x[ok]
 
 

@@ -172,6 +172,8 @@ def extract(html: str | None) -> str:
         return ""
     parser = _Lines()
     parser.feed(html)
+    if re.match("<[a-zA-Z/!?]", parser.rawdata):  # a tag or comment that never ends is no text
+        parser.rawdata = ""
     parser.close()
     lines = []
     for pieces, linked, tags, region, out, heading in parser.lines:

@@ -239,8 +239,9 @@ def similar_classes(docs: DataFrame, members: DataFrame, frequent: dict[int, int
 def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with ``text`` less the removed lines, ``n_lines``, ``n_removed`` and ``n_links`` (similar classes, summed over the lines)."""
     spark = docs.sparkSession
-    docs = docs.drop("n_lines", "n_removed", "n_links", "_marks", "_doc")
+    docs = docs.drop("n_lines", "n_removed", "n_links")
     names = docs.columns
+    marked, doc_key = (next(n for n in (f"{c}{'_' * k}" for k in itertools.count()) if n not in names) for c in ("_marks", "_doc"))
     frequent = frequent_words(docs)
     # What is joined below grows with the documents: merge joins at every size, never a broadcast.
     lines = numbered_lines(docs, frequent)
@@ -262,7 +263,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, n, removed, links = [], [], [], []
-            for t, marks in zip(b.column("text").to_pylist(), b.column("_marks").to_pylist(), strict=True):
+            for t, marks in zip(b.column("text").to_pylist(), b.column(marked).to_pylist(), strict=True):
                 pieces = t.split("\n") if t else []
                 drop, found = set(), 0
                 tie = xxhash.xxh3_64_intdigest(t.encode()) >> 1 if t else 0
@@ -277,7 +278,7 @@ def dedup(docs: DataFrame) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(links, pa.int64())], names=[*names, "n_lines", "n_removed", "n_links"])
 
-    by_doc = marks.groupBy("doc_id").agg(F.collect_list(F.struct("tie", "gone", "links")).alias("_marks")).withColumnRenamed("doc_id", "_doc")
-    joined = docs.join(by_doc.hint("merge"), docs["doc_id"] == by_doc["_doc"], "left").select(*(docs[c] for c in docs.columns), "_marks")
+    by_doc = marks.groupBy("doc_id").agg(F.collect_list(F.struct("tie", "gone", "links")).alias(marked)).withColumnRenamed("doc_id", doc_key)
+    joined = docs.join(by_doc.hint("merge"), docs["doc_id"] == by_doc[doc_key], "left").select(*(docs[c] for c in docs.columns), marked)
     head = ", ".join(f"`{c}` {k}" for c, k in docs.dtypes)
     return joined.mapInArrow(cut, f"{head}, n_lines bigint, n_removed bigint, n_links bigint")
