@@ -1,10 +1,9 @@
 """Operator 2: near-duplicate lines by an exact set-similarity join.
 
-A line's tokens are its distinct words, A-Z lower-cased, ordered by rarity: words
-outside the list of frequent ones first, by hash, then the frequent ones by their
-counts. Lines with equal sets are one class. A class posts the prefix that any set
-with a Jaccard similarity of 0.8 must share a token of; posts that meet pass filters
-of length, position and a 64-bit bitmap, all of them safe. What remains joins
+A line's tokens are its distinct words, A-Z lower-cased, ordered by rarity: a sketch
+of fixed size counts the words of all texts. Lines with equal sets are one class. A class
+posts the prefix that any set with a Jaccard similarity of 0.8 must share a token of;
+posts that meet pass filters of length, position and a 128-bit bitmap, all of them safe. What remains joins
 clusters, whose full sets are compared exactly in blocks of bounded size. A line is
 removed if a line before it (by ``doc_id``, then place) has an equal or similar set.
 
@@ -18,7 +17,6 @@ are, but for any named as those that this adds.
 from __future__ import annotations
 
 import itertools
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,50 +28,49 @@ from pyspark.sql import functions as F
 from ._common import Memo, map_batches, release, stored
 from ._similar import components, each_group, edges_of, grouped, in_blocks, linked_pairs
 
-#: At most so many words are told apart as frequent: those with one in so many of all occurrences.
-FREQUENT = 20_000
+#: Counters of the word sketch, a power of two: what the driver gets and broadcasts whatever the input.
+COUNTERS = 1 << 18
 BLOCK = 512
 NUM, DEN = 80, 100
 
 
-def frequent_words(docs: DataFrame) -> dict[int, int]:
-    """Hash to rank, from rarest, of the words with at least one in ``FREQUENT`` of all occurrences, over all texts.
+def word_levels(docs: DataFrame) -> np.ndarray:
+    """A level of frequency (eight to each doubling) for every counter of a sketch of all words of all texts.
 
-    Such a word has that share in some task too, so a task sends those alone: fewer
-    than ``FREQUENT`` rows each, and as few reach the driver. (Counts only order the
-    tokens; a task's rarest words may be forgotten on the way.)
+    Words that share a counter share a level; levels only order tokens, so that
+    changes no result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
-        total = 0
+        place = Memo(_counter, 300_000).__getitem__
+        counts = np.zeros(COUNTERS, np.int64)
         for b in batches:
-            for t in b.column("text"):
-                words = (t.as_py() or "").encode().lower().split()
-                counts.update(words)
-                total += len(words)
-                if len(counts) > 600_000:
-                    counts = Counter({w: n for w, n in counts.items() if n > total / (50 * FREQUENT) + 1})
-        found = [(xxhash.xxh3_64_intdigest(w) >> 1, n) for w, n in counts.items() if n >= total / FREQUENT]
-        yield pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in found], pa.int64()), "n": pa.array([n for _, n in found], pa.int64()), "total": pa.array([total if not i else 0 for i in range(len(found))], pa.int64())})
+            for t in b.column("text").to_pylist():
+                words = t.encode().lower().split() if t else []
+                np.add.at(counts, np.fromiter(map(place, words), np.int64, len(words)), 1)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_pydict({"counter": some, "n": counts[some]})
 
-    sums = stored(map_batches(docs, ["text"], run, "word bigint, n bigint, total bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), "words")
-    total = sums.agg(F.sum("total")).first()[0] or 0
-    rows = sums.where(F.col("n") >= total / FREQUENT).orderBy("n", "word").select("word").collect()
-    return {r["word"]: i for i, r in enumerate(rows)}
+    sums = map_batches(docs, ["text"], run, "counter bigint, n bigint").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()  # COUNTERS rows at most
+    levels = np.zeros(COUNTERS, np.uint8)
+    levels[sums["counter"].to_numpy(np.int64)] = np.minimum(255, np.round(8 * np.log2(sums["n"].to_numpy(np.float64))))
+    return levels
+
+
+def _counter(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word) & COUNTERS - 1
 
 
 class Tokens:
-    """Ordered token sets of lines. A token is a 63-bit hash; frequent ones carry their rank and the top bit."""
+    """Ordered token sets of lines. A token is the level of its word, then 56 bits of its hash."""
 
-    def __init__(self, frequent: dict[int, int], memo: int = 300_000):
-        self.frequent = frequent
+    def __init__(self, levels: np.ndarray, memo: int = 300_000):
+        self.levels = levels.tolist()
         self.memo = Memo(self._token, memo)
 
     def _token(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word) >> 1
-        rank = self.frequent.get(h)
-        return h if rank is None else rank | 1 << 63
+        h = xxhash.xxh3_64_intdigest(word)
+        return self.levels[h & COUNTERS - 1] << 56 | h >> 8
 
     def of(self, lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of all lines, in order and without repeats, and the offsets of each line's."""
@@ -104,18 +101,21 @@ def least_overlap(n: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 
 def bitmaps(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """64 bits a line, one flipped by each token: two sets differ in as many tokens at least as their bitmaps in bits."""
-    bits = np.uint64(1) << ((tokens * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58))
-    out = np.zeros(len(offsets) - 1, np.uint64)
+    """Two words of 64 bits a line, a bit flipped by each token: two sets differ in as many tokens at least as their bitmaps in bits."""
+    mixed = tokens * np.uint64(0x9E3779B97F4A7C15)
+    bits = np.uint64(1) << (mixed >> np.uint64(58))
+    second = (mixed >> np.uint64(57) & np.uint64(1)).astype(bool)
+    out = np.zeros((2, len(offsets) - 1), np.uint64)
     some = np.flatnonzero(np.diff(offsets))
     if len(some):
-        out[some] = np.bitwise_xor.reduceat(bits, offsets[some])
+        out[0, some] = np.bitwise_xor.reduceat(np.where(second, np.uint64(0), bits), offsets[some])
+        out[1, some] = np.bitwise_xor.reduceat(np.where(second, bits, np.uint64(0)), offsets[some])
     return out
 
 
-def numbered_lines(docs: DataFrame, frequent: dict[int, int]) -> DataFrame:
+def numbered_lines(docs: DataFrame, levels: np.ndarray) -> DataFrame:
     """A stored row for each line with words: its document and place, hash of its set, and what its posts need."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)  # FREQUENT entries at most
+    shared = docs.sparkSession.sparkContext.broadcast(levels)  # COUNTERS bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(shared.value)
@@ -143,26 +143,26 @@ def numbered_lines(docs: DataFrame, frequent: dict[int, int]) -> DataFrame:
                 short = ((flat[which] * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 pick = lambda xs: pa.array(np.array(xs, np.int64)[some])  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays(
-                    [pick(ids), pick(ties), pick(places).cast(pa.int32()), pa.array(hashes, pa.binary()), pa.array(n[some].astype(np.int32)), pa.array(bitmaps(flat, offsets)[some].view(np.int64)), pa.ListArray.from_arrays(pa.array(starts), pa.array(short))],
-                    names=["doc_id", "tie", "line", "set_hash", "n", "bits", "prefix"],
+                    [pick(ids), pick(ties), pick(places).cast(pa.int32()), pa.array(hashes, pa.binary()), pa.array(n[some].astype(np.int32)), *(pa.array(x[some].view(np.int64)) for x in bitmaps(flat, offsets)), pa.ListArray.from_arrays(pa.array(starts), pa.array(short))],
+                    names=["doc_id", "tie", "line", "set_hash", "n", "bits", "bits2", "prefix"],
                 )
 
-    return stored(map_batches(docs, ["doc_id", "text"], run, "doc_id bigint, tie bigint, line int, set_hash binary, n int, bits bigint, prefix array<int>"), "lines")
+    return stored(map_batches(docs, ["doc_id", "text"], run, "doc_id bigint, tie bigint, line int, set_hash binary, n int, bits bigint, bits2 bigint, prefix array<int>"), "lines")
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """Edges ``a, b`` whose components hold every pair of similar classes (``id, n, bits, prefix``)."""
+    """Edges ``a, b`` whose components hold every pair of similar classes (``id, n, bits, bits2, prefix``)."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts, sizes in each_group(batches, "key"):
             ids, n, pos, blk, bi, bj = (table.column(c).to_numpy() for c in ("id", "n", "pos", "blk", "bi", "bj"))
-            bits = table.column("bits").to_numpy().view(np.uint64)
+            bits, bits2 = (table.column(c).to_numpy().view(np.uint64) for c in ("bits", "bits2"))
             n, pos = n.astype(np.int64), pos.astype(np.int64)
 
             def near(x, y):
                 least = least_overlap(n[x], n[y])  # noqa: B023
                 most = np.minimum(n[x] - pos[x], n[y] - pos[y])  # if this is their first token in common  # noqa: B023
-                differ = np.bitwise_count(bits[x] ^ bits[y]).astype(np.int64)  # noqa: B023
+                differ = np.bitwise_count(bits[x] ^ bits[y]).astype(np.int64) + np.bitwise_count(bits2[x] ^ bits2[y])  # noqa: B023
                 return (np.minimum(n[x], n[y]) >= least) & (most >= least) & (n[x] + n[y] - differ >= 2 * least)  # noqa: B023
 
             out: list[tuple[int, int]] = []
@@ -186,13 +186,13 @@ def candidates(classes: DataFrame) -> DataFrame:
                 x = np.array(sorted({(min(p), max(p)) for p in out if p[0] != p[1]}), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
 
-    posts = classes.select("id", "n", "bits", F.posexplode("prefix").alias("pos", "key"))
+    posts = classes.select("id", "n", "bits", "bits2", F.posexplode("prefix").alias("pos", "key"))
     return grouped(in_blocks(posts, "key", 2 * BLOCK), "key").mapInArrow(pairs, "a bigint, b bigint")
 
 
-def similar_classes(docs: DataFrame, members: DataFrame, frequent: dict[int, int]) -> DataFrame:
+def similar_classes(docs: DataFrame, members: DataFrame, levels: np.ndarray) -> DataFrame:
     """``id, links, earlier`` of classes with a similar one. ``members``: ``cluster, id, doc_id, tie, line`` (the first occurrence)."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(shared.value)
@@ -242,16 +242,16 @@ def dedup(docs: DataFrame) -> DataFrame:
     docs = docs.drop("n_lines", "n_removed", "n_links")
     names = docs.columns
     marked, doc_key = (next(n for n in (f"{c}{'_' * k}" for k in itertools.count()) if n not in names) for c in ("_marks", "_doc"))
-    frequent = frequent_words(docs)
+    levels = word_levels(docs)
     # What is joined below grows with the documents: merge joins at every size, never a broadcast.
-    lines = numbered_lines(docs, frequent)
-    first = F.min(F.struct("doc_id", "tie", "line", "n", "bits", "prefix")).alias("f")
+    lines = numbered_lines(docs, levels)
+    first = F.min(F.struct("doc_id", "tie", "line", "n", "bits", "bits2", "prefix")).alias("f")
     classes = stored(lines.groupBy("set_hash").agg(first).select("set_hash", "f.*").withColumn("id", F.monotonically_increasing_id()), "line-classes")
     release(spark)
     clusters = components(candidates(classes))
     release(spark)
     members = classes.join(clusters, "id").select(F.col("component").alias("cluster"), "id", "doc_id", "tie", "line")
-    links = stored(similar_classes(docs, members, frequent), "line-links")
+    links = stored(similar_classes(docs, members, levels), "line-links")
     release(spark)
     known = classes.select("set_hash", "id", F.struct("doc_id", "tie", "line").alias("first")).join(links, "id", "left")
     verdicts = known.select("set_hash", "first", F.coalesce("earlier", F.lit(False)).alias("earlier"), F.coalesce("links", F.lit(0)).alias("links"))
