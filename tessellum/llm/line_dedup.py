@@ -25,8 +25,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Memo, map_batches, release, stored
+from ._common import map_batches, release, stored
 from ._similar import components, each_group, edges_of, grouped, in_blocks, linked_pairs
+from ._words import word_hashes
 
 #: Counters of the word sketch, a power of two: what the driver gets and broadcasts whatever the input.
 COUNTERS = 1 << 18
@@ -42,12 +43,11 @@ def word_levels(docs: DataFrame) -> np.ndarray:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = Memo(_counter, 300_000).__getitem__
         counts = np.zeros(COUNTERS, np.int64)
-        for b in batches:
-            for t in b.column("text").to_pylist():
-                words = t.encode().lower().split() if t else []
-                np.add.at(counts, np.fromiter(map(place, words), np.int64, len(words)), 1)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                raw = "\n".join(t or "" for t in whole.column("text").slice(at, 256).to_pylist()).encode().lower()
+                counts += np.bincount((word_hashes(raw)[0] % COUNTERS).astype(np.int64), minlength=COUNTERS)
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_pydict({"counter": some, "n": counts[some]})
 
@@ -57,33 +57,21 @@ def word_levels(docs: DataFrame) -> np.ndarray:
     return levels
 
 
-def _counter(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word) & COUNTERS - 1
-
+def tokens(raw: bytes, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of all lines of ``raw`` (lower-case), in order and without repeats, and the offsets of each line's.
 
-class Tokens:
-    """Ordered token sets of lines. A token is the level of its word, then 56 bits of its hash."""
-
-    def __init__(self, levels: np.ndarray, memo: int = 300_000):
-        self.levels = levels.tolist()
-        self.memo = Memo(self._token, memo)
-
-    def _token(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        return self.levels[h & COUNTERS - 1] << 56 | h >> 8
-
-    def of(self, lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens of all lines, in order and without repeats, and the offsets of each line's."""
-        words = [line.split() for line in lines]
-        sizes = np.array([len(w) for w in words], np.int64)
-        flat = np.fromiter(map(self.memo.__getitem__, itertools.chain.from_iterable(words)), np.uint64, int(sizes.sum()))
-        line = np.repeat(np.arange(len(lines)), sizes)
-        order = _by_line(flat, line)
-        flat = flat[order]
-        new = np.ones(len(flat), bool)
-        new[1:] = (flat[1:] != flat[:-1]) | (line[1:] != line[:-1])
-        counts = np.bincount(line[new], minlength=len(lines)) if len(lines) else np.zeros(0, np.int64)
-        return flat[new], np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+    A token is the level of its word, then 56 bits of its hash.
+    """
+    h, starts = word_hashes(raw)
+    ends = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10)
+    line = np.searchsorted(ends, starts)
+    flat = levels[(h % COUNTERS).astype(np.int64)].astype(np.uint64) << np.uint64(56) | h >> np.uint64(8)
+    order = _by_line(flat, line)
+    flat = flat[order]
+    new = np.ones(len(flat), bool)
+    new[1:] = (flat[1:] != flat[:-1]) | (line[1:] != line[:-1])
+    counts = np.bincount(line[new], minlength=len(ends) + 1)
+    return flat[new], np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
 
 
 def _by_line(values: np.ndarray, line: np.ndarray) -> np.ndarray:
@@ -118,21 +106,23 @@ def numbered_lines(docs: DataFrame, levels: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(levels)  # COUNTERS bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(shared.value)
+        levels = shared.value
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
-                lines, ids, ties, places = [], [], [], []
+                texts, ids, ties, places = [], [], [], []
                 for doc, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                     if doc is None or not t:
                         continue
                     raw = t.encode()
-                    cut = raw.lower().split(b"\n")
-                    lines += cut
-                    ids += [doc] * len(cut)
-                    ties += [xxhash.xxh3_64_intdigest(raw) >> 1] * len(cut)
-                    places += range(len(cut))
-                flat, offsets = tokens.of(lines)
+                    texts.append(raw.lower())
+                    size = raw.count(b"\n") + 1
+                    ids += [doc] * size
+                    ties += [xxhash.xxh3_64_intdigest(raw) >> 1] * size
+                    places += range(size)
+                if not texts:
+                    continue
+                flat, offsets = tokens(b"\n".join(texts), levels)
                 n = np.diff(offsets)
                 some = np.flatnonzero(n)
                 view = memoryview(flat.tobytes())
@@ -195,7 +185,7 @@ def similar_classes(docs: DataFrame, members: DataFrame, levels: np.ndarray) ->
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(shared.value)
+        levels = shared.value
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
@@ -208,7 +198,7 @@ def similar_classes(docs: DataFrame, members: DataFrame, levels: np.ndarray) ->
                             lines.append(cut[w["line"]])
                             rows.append((w["cluster"], w["id"], doc, tie, w["line"]))
                 if rows:
-                    flat, offsets = tokens.of(lines)
+                    flat, offsets = tokens(b"\n".join(lines), levels)
                     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
                     yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.view(np.int64)))], names=["cluster", "id", "doc_id", "tie", "line", "tokens"])
 

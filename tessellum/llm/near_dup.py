@@ -31,48 +31,35 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Memo, map_batches, release, stored
+from ._common import map_batches, release, stored
 from ._similar import components, each_group, edges_of, grouped, in_blocks, linked_pairs
+from ._words import joined, mix
 
 CHUNKS, SLOTS, ERRORS = 8, 5, 1
 FILTER_SLOTS, FILTER_ERRORS = 32, 17
 BLOCK = 256
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_MIX = np.uint64(0xD6E8FEB86659FD93)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * _MIX
-    x = (x ^ (x >> np.uint64(32))) * _MIX
-    return x ^ (x >> np.uint64(32))
-
-
-class Shingler:
-    """Sets of 64-bit shingle hashes of texts; word hashes are cached."""
-
-    def __init__(self, width: int, memo: int = 300_000):
-        self.width = width
-        self.memo = Memo(xxhash.xxh3_64_intdigest, memo)
-
-    def sets(self, texts: list[str | None]) -> list[np.ndarray]:
-        """A-Z are lower-cased; words are runs without space and \\t to \\r."""
-        words = [t.encode().lower().split() if t else [] for t in texts]
-        total = sum(map(len, words))
-        h = np.fromiter(map(self.memo.__getitem__, itertools.chain.from_iterable(words)), np.uint64, total)
-        s = h.copy()
-        for k in range(1, self.width):
-            s[: total - k] = _mix(s[: total - k] * _ODD + h[k:])
-        out, at = [], 0
-        for ws in words:
-            n = len(ws)
-            if n >= self.width:
-                out.append(np.unique(s[at : at + n - self.width + 1]))
-            elif n:
-                out.append(np.array([xxhash.xxh3_64_intdigest(b" ".join(ws), 1)], np.uint64))
-            else:
-                out.append(np.zeros(0, np.uint64))
-            at += n
-        return out
+
+
+def shingle_hashes(texts: list[str | None], width: int) -> list[np.ndarray]:
+    """Sets of 64-bit shingle hashes of texts. A-Z are lower-cased; words are runs without space and \\t to \\r."""
+    h, _, sizes = joined([t.encode().lower() if t else b"" for t in texts])
+    total, s = len(h), h.copy()
+    for k in range(1, width):
+        s[: max(0, total - k)] = mix(s[: max(0, total - k)] * _ODD + h[k:])
+    out, at = [], 0
+    for n in sizes.tolist():
+        if n >= width:
+            out.append(np.unique(s[at : at + n - width + 1]))
+        elif n:
+            whole = h[at : at + 1] + np.uint64(n)
+            for x in h[at + 1 : at + n]:
+                whole = mix(whole * _ODD + x)
+            out.append(mix(whole))
+        else:
+            out.append(np.zeros(0, np.uint64))
+        at += n
+    return out
 
 
 def _multipliers() -> np.ndarray:
@@ -85,7 +72,7 @@ def signature(shingles: np.ndarray, by: np.ndarray) -> np.ndarray:
     for a in range(0, len(shingles), 4096):
         part = shingles[a : a + 4096]
         least = np.minimum(least, (part[None, :] * by[:, None]).min(axis=1))
-    return (_mix(least) >> np.uint64(48)).astype(np.uint16)
+    return (mix(least) >> np.uint64(48)).astype(np.uint16)
 
 
 def probe_keys(sigs: np.ndarray) -> np.ndarray:
@@ -96,7 +83,7 @@ def probe_keys(sigs: np.ndarray) -> np.ndarray:
         for n, kept in enumerate(itertools.combinations(range(SLOTS), SLOTS - ERRORS)):
             k = np.full(len(sigs), c * 1000 + n, np.uint64)
             for s in kept:
-                k = _mix(k * _ODD + x[:, c, s])
+                k = mix(k * _ODD + x[:, c, s])
             keys.append(k)
     return np.stack(keys, axis=1).view(np.int64)
 
@@ -119,11 +106,11 @@ def classes(docs: DataFrame, width: int) -> DataFrame:
     """``doc_id, n_shingles, set_hash, sig`` of every row, stored; null hash and signature for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, by = Shingler(width), _multipliers()
+        by = _multipliers()
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
-                sets = shingler.sets(b.column("text").to_pylist())
+                sets = shingle_hashes(b.column("text").to_pylist(), width)
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column("doc_id").cast(pa.int64()),
@@ -196,11 +183,10 @@ def shingle_sets(docs: DataFrame, clusters: DataFrame, width: int) -> DataFrame:
     """``cluster, id, tokens`` of the documents in ``clusters(id, component)``: sets are made again, not carried through the candidate search."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(width)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
-                sets = shingler.sets(b.column("text").to_pylist())
+                sets = shingle_hashes(b.column("text").to_pylist(), width)
                 yield pa.RecordBatch.from_arrays([b.column("component"), b.column("id"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["cluster", "id", "tokens"])
 
     # The clusters grow with the documents: a merge join at every size, never a broadcast. Stored, as dealing out reads them twice.
