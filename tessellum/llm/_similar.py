@@ -22,13 +22,13 @@ def in_blocks(rows: DataFrame, key: str, block: int, share: int = 16) -> DataFra
 
     Hot keys are told by the members with one in ``share`` of all ids, so that no full
     count is shuffled; that decides on the dealing alone, never on the result. Their
-    table is written, so that its size decides whether Spark may broadcast it.
+    table is written, so that its size decides whether Spark may broadcast it. Without a
+    hot key no column is added.
     """
     seen = rows.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(share)) == 0).groupBy(key).agg((F.count("*") * share).alias("members"))
     hot = stored(seen.where(F.col("members") > block), "hot-keys")
-    none = rows.withColumns({"bi": F.lit(0), "bj": F.lit(0), "blk": F.lit(0)})
     if hot.isEmpty():
-        return none
+        return rows
     dealt = rows.join(hot, key, "left").withColumn("nb", F.ceil(F.coalesce(F.col("members"), F.lit(1)) / block).cast("int"))
     dealt = dealt.withColumn("blk", F.pmod(F.xxhash64("id", F.lit(3)), F.col("nb")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
@@ -37,18 +37,26 @@ def in_blocks(rows: DataFrame, key: str, block: int, share: int = 16) -> DataFra
 
 def grouped(rows: DataFrame, key: str) -> DataFrame:
     """Groups side by side within partitions; AQE's advisory size must not matter for results, only for the number of tasks."""
-    return rows.repartition(key, "bi", "bj").sortWithinPartitions(key, "bi", "bj", "id")
+    keys = [key, *(c for c in ("bi", "bj") if c in rows.columns)]
+    return rows.repartition(*keys).sortWithinPartitions(*keys)
 
 
-def each_group(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
-    """Sorted batches as tables of whole groups, with the starts and sizes of their groups; singles are skipped."""
+def blocks_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``blk``, ``bi`` and ``bj`` of every row; all 0 where groups are whole."""
+    if "blk" not in table.column_names:
+        return (np.zeros(table.num_rows, np.int32),) * 3
+    return tuple(table.column(c).to_numpy() for c in ("blk", "bi", "bj"))
+
+
+def each_group(batches: Iterator[pa.RecordBatch], key: str, least: int = 1) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Sorted batches as tables of whole groups, with the starts and sizes of their groups. ``least``: rows to gather first."""
     held: list[pa.RecordBatch] = []
 
     def cut(table: pa.Table, whole: bool):
         n = table.num_rows
         if not n:
             return None, table
-        k, i, j = (table.column(c).to_numpy() for c in (key, "bi", "bj"))
+        k, (_, i, j) = table.column(key).to_numpy(), blocks_of(table)
         new = np.concatenate([[True], (k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
         starts = np.flatnonzero(new)
         end = n if whole else starts[-1]
@@ -59,6 +67,8 @@ def each_group(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa
 
     for b in batches:
         held.append(b)
+        if sum(x.num_rows for x in held) < least:
+            continue
         done, rest = cut(pa.Table.from_batches(held), False)
         held = rest.combine_chunks().to_batches() if rest.num_rows else []
         if done:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import map_batches, release, stored
-from ._similar import components, each_group, edges_of, grouped, in_blocks, linked_pairs
+from ._similar import blocks_of, components, each_group, edges_of, grouped, in_blocks, linked_pairs
 from ._words import word_hashes
 
 #: Counters of the word sketch, a power of two: what the driver gets and broadcasts whatever the input.
@@ -144,8 +144,9 @@ def candidates(classes: DataFrame) -> DataFrame:
     """Edges ``a, b`` whose components hold every pair of similar classes (``id, n, bits, bits2, prefix``)."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts, sizes in each_group(batches, "key"):
-            ids, n, pos, blk, bi, bj = (table.column(c).to_numpy() for c in ("id", "n", "pos", "blk", "bi", "bj"))
+        for table, starts, sizes in each_group(batches, "key", least=50_000):
+            ids, n, pos = (table.column(c).to_numpy() for c in ("id", "n", "pos"))
+            blk, bi, bj = blocks_of(table)
             bits, bits2 = (table.column(c).to_numpy().view(np.uint64) for c in ("bits", "bits2"))
             n, pos = n.astype(np.int64), pos.astype(np.int64)
 
@@ -204,7 +205,8 @@ def similar_classes(docs: DataFrame, members: DataFrame, levels: np.ndarray) ->
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts, sizes in each_group(batches, "cluster"):
-            ids, doc, tie, line, blk, bi, bj = (table.column(c).to_numpy() for c in ("id", "doc_id", "tie", "line", "blk", "bi", "bj"))
+            ids, doc, tie, line = (table.column(c).to_numpy() for c in ("id", "doc_id", "tie", "line"))
+            blk, bi, bj = blocks_of(table)
             lists = table.column("tokens").combine_chunks()
             lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
             offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()

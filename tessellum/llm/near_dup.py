@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import map_batches, release, stored
-from ._similar import components, each_group, edges_of, grouped, in_blocks, linked_pairs
+from ._similar import blocks_of, components, each_group, edges_of, grouped, in_blocks, linked_pairs
 from ._words import joined, mix
 
 CHUNKS, SLOTS, ERRORS = 8, 5, 1
@@ -137,13 +137,13 @@ def candidates(reps: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.ravel(), np.repeat(b.column("id").to_numpy(), n), np.repeat(packed[:, 0], n), np.repeat(packed[:, 1], n))], names=["key", "id", "s1", "s2"])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts, sizes in each_group(batches, "key"):
+        for table, starts, sizes in each_group(batches, "key", least=50_000):
             ids = table.column("id").to_numpy()
             s1, s2 = (table.column(c).to_numpy().view(np.uint64) for c in ("s1", "s2"))
             two = starts[sizes == 2]
             near = slot_errors(s1[two], s1[two + 1]) + slot_errors(s2[two], s2[two + 1]) <= FILTER_ERRORS
             out = list(zip(ids[two[near]].tolist(), ids[two[near] + 1].tolist(), strict=True))
-            blk, bi, bj = (table.column(c).to_numpy() for c in ("blk", "bi", "bj"))
+            blk, bi, bj = blocks_of(table)
             for a, m in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
                 z = a + m
                 d = slot_errors(s1[a:z, None], s1[None, a:z]) + slot_errors(s2[a:z, None], s2[None, a:z])
@@ -164,7 +164,7 @@ def exact_links(sets: DataFrame, num: int, den: int) -> DataFrame:
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts, sizes in each_group(batches, "cluster"):
-            ids, blk, bi, bj = (table.column(c).to_numpy() for c in ("id", "blk", "bi", "bj"))
+            ids, (blk, bi, bj) = table.column("id").to_numpy(), blocks_of(table)
             lists = table.column("tokens").combine_chunks()
             lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
             offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
