@@ -41,7 +41,7 @@ class PerfectHash:
     def __init__(self, items: dict[bytes, int]):
         keys = list(items)
         n = self.n = max(1, len(keys))
-        self.buckets = max(1, n // 4)
+        self.buckets = max(1, n // 3)
         self.seeds = np.zeros(self.buckets, dtype=np.int64)
         self.keys: list[bytes | None] = [None] * n
         self.values = [0] * n
@@ -77,7 +77,7 @@ class PerfectHash:
 class ByteBPE:
     """Encoder and decoder for a file of ranks (base64 token, rank) and a pre-token pattern."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 100_000):
         self.ranks = ranks
         self.hash = PerfectHash(ranks)
         self.vocab = {i: t for t, i in ranks.items()}
@@ -98,15 +98,21 @@ class ByteBPE:
         return [whole] if whole is not None else self.merge(word)
 
     def merge(self, word: bytes) -> list[int]:
-        """Pairs wait in a heap by rank, then place; pieces are linked through the place where the next one begins."""
+        """Pairs wait in a heap by rank, then place; pieces are linked through the place where the next one begins.
+
+        An entry is one number: rank, place and end, from the highest bits.
+        """
         rank, n = self.ranks.get, len(word)
+        b = n.bit_length()
+        b2, low = 2 * b, (1 << b) - 1
         after = list(range(1, n + 1))  # where the piece that begins here ends; 0: it has become part of another
         before = list(range(-1, n - 1))
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(word[i : i + 2])) is not None]
+        heap = [r << b2 | i << b | i + 2 for i in range(n - 1) if (r := rank(word[i : i + 2])) is not None]
         heapq.heapify(heap)
         pop, push = heapq.heappop, heapq.heappush
         while heap:
-            _, i, end = pop(heap)
+            x = pop(heap)
+            i, end = x >> b & low, x & low
             j = after[i]
             if not j or j >= end or after[j] != end:
                 continue
@@ -114,10 +120,10 @@ class ByteBPE:
             if end < n:
                 before[end] = i
                 if (r := rank(word[i : after[end]])) is not None:
-                    push(heap, (r, i, after[end]))
+                    push(heap, r << b2 | i << b | after[end])
             h = before[i]
             if h >= 0 and (r := rank(word[h:end])) is not None:
-                push(heap, (r, h, end))
+                push(heap, r << b2 | h << b | end)
         ids, i = [], 0
         while i < n:
             ids.append(self.ranks[word[i : after[i]]])

@@ -17,7 +17,8 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,23 +36,38 @@ PENALTY = 0.7
 
 @dataclass
 class Model:
-    langs: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
-    floor: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    """``words`` and ``grams`` give rows of ``word_logs`` and ``gram_logs``, which have a column for each language."""
 
-    def word(self, word: str) -> np.ndarray:
+    langs: list[str]
+    words: dict[str, int]
+    grams: dict[str, int]
+    word_logs: np.ndarray
+    gram_logs: np.ndarray
+    floor: np.ndarray
+
+    def parts(self, word: str) -> tuple[list[int], float]:
+        """Rows of ``logs()`` whose mean is the word's score, and what the steps of its back-off take off that mean."""
         known = self.words.get(word)
         if known is not None:
-            return known
-        padded, total, n = f" {word} ", np.zeros(len(self.langs)), 0
+            return [known], 0.0
+        padded, grams, at, rows, steps = f" {word} ", self.grams, len(self.words), [], 0
+        floor = at + len(grams)
         for i in range(max(1, len(padded) - ORDER + 1)):
-            gram, cost = padded[i : i + ORDER], 0.0
-            while gram and gram not in self.grams:
-                gram, cost = gram[:-1], cost + PENALTY
-            total += (self.grams[gram] if gram else self.floor) - cost
-            n += 1
-        return total / n  # an unknown word counts as one word, whatever its length
+            gram = padded[i : i + ORDER]
+            row = grams.get(gram)
+            while row is None and gram:
+                gram, steps = gram[:-1], steps + 1
+                row = grams.get(gram)
+            rows.append(floor if row is None else at + row)
+        return rows, PENALTY * steps / len(rows)  # an unknown word counts as one word, whatever its length
+
+    def logs(self) -> np.ndarray:
+        """Words, then n-grams, then the floor."""
+        return np.concatenate([self.word_logs, self.gram_logs, self.floor[None, :]])
+
+    def word(self, word: str) -> np.ndarray:
+        rows, cost = self.parts(word)
+        return self.logs()[rows].mean(axis=0) - cost
 
 
 def fit(labelled: dict[str, list[str]], words: int = 20_000, grams: int = 60_000) -> Model:
@@ -70,12 +86,14 @@ def fit(labelled: dict[str, list[str]], words: int = 20_000, grams: int = 60_000
         by_word.append(w)
         by_gram.append(g)
 
-    def logs(counts: list[Counter[str]], most: int, least: int) -> dict[str, np.ndarray]:
-        keys = {k for c in counts for k, n in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:most] if n >= least}
+    def logs(counts: list[Counter[str]], most: int, least: int) -> tuple[dict[str, int], np.ndarray]:
+        keys = sorted({k for c in counts for k, n in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:most] if n >= least})
         totals = np.array([sum(c.values()) + 1.0 for c in counts])
-        return {k: np.log(np.array([c.get(k, 0) + 0.1 for c in counts]) / totals) for k in keys}
+        table = np.array([[c.get(k, 0) + 0.1 for c in counts] for k in keys]).reshape(len(keys), len(counts))
+        return {k: i for i, k in enumerate(keys)}, np.log(table / totals)
 
-    return Model(langs, logs(by_word, words, 2), logs(by_gram, grams, 1), np.full(len(langs), math.log(1e-9)))
+    of_words, of_grams = logs(by_word, words, 2), logs(by_gram, grams, 1)
+    return Model(langs, of_words[0], of_grams[0], of_words[1], of_grams[1], np.full(len(langs), math.log(1e-9)))
 
 
 def sample(docs: DataFrame, per_lang: int, seed: int = 7) -> dict[str, list[str]]:
@@ -110,24 +128,34 @@ class _Rows(dict):
 
 
 class Scorer:
-    """Scores texts; runs of non-space are cached as rows of one table of scores."""
+    """Scores texts; runs of non-space are cached as rows of one table of scores, which new ones enter a text at a time."""
 
-    def __init__(self, model: Model, memo: int = 300_000):
-        self.model, self.memo = model, memo
+    def __init__(self, model: Model, memo: int = 150_000):
+        self.model, self.memo, self.logs = model, memo, model.logs()
         self.table = np.zeros((1024, len(model.langs)))
         self.used = 1  # row 0: no letters, no score
         self.known = _Rows(self._row)
+        self.new: list[tuple[int, list[int], float]] = []
 
     def _row(self, chunk: str) -> int:
         words = [chunk] if chunk.isalpha() else _NOT_LETTERS.sub(" ", chunk).split()
         if not words:
             return 0
-        if self.used == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[self.used] = sum(map(self.model.word, words))
+        self.new += [(self.used, *self.model.parts(w)) for w in words]
         self.used += 1
         return self.used - 1
 
+    def _enter(self) -> None:
+        if self.used > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros((max(self.used, len(self.table)), self.table.shape[1]))])
+        into, rows, cost = zip(*self.new, strict=True)
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        flat = np.fromiter(chain.from_iterable(rows), np.int64, int(sizes.sum()))
+        means = np.add.reduceat(self.logs[flat], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None] - np.array(cost)[:, None]
+        self.table[list(into)] = 0
+        np.add.at(self.table, list(into), means)
+        self.new = []
+
     def predict(self, text: str | None) -> tuple[str, float]:
         if len(self.known) > self.memo:
             self.known.clear()
@@ -135,7 +163,10 @@ class Scorer:
         chunks = text.lower().split() if text else []
         ids = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
         if not self.model.langs or not ids.any():
+            self.new = []
             return "und", 0.0
+        if self.new:
+            self._enter()
         total = self.table[ids].sum(axis=0)
         best = int(np.argmax(total))
         return self.model.langs[best], float(1.0 / np.exp(np.maximum(total - total[best], -700.0)).sum())
