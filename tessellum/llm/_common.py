@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import tempfile
@@ -43,9 +45,24 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def tidied(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``fn`` for ``mapInArrow``; a worker, which serves further tasks, gives back what it has freed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # glibc alone has it
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
 def map_batches(df: DataFrame, columns: list[str], fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` over exactly ``columns``, so that nothing else leaves the scan."""
-    return df.select(*columns).mapInArrow(fn, schema)
+    return df.select(*columns).mapInArrow(tidied(fn), schema)
 
 
 class Memo(dict):
@@ -68,6 +85,10 @@ class Memo(dict):
             self.clear()
         self[key] = value
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
 
 def crc_mod(column: str, n: int):
     """crc32 of the id written in decimal, modulo ``n``."""

@@ -145,27 +145,28 @@ def linked_pairs(values: np.ndarray, offsets: np.ndarray, blk: np.ndarray, same:
     return ok
 
 
+def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of edges, each reduced to stars: the smallest member of each component of the batch, and every other one."""
+    for b in batches:
+        a, z = b.column("a").to_numpy(), b.column("b").to_numpy()
+        ids, at = np.unique(np.concatenate([a, z]), return_inverse=True)
+        f = Forest(len(ids))
+        for x, y in zip(at[: len(a)].tolist(), at[len(a) :].tolist(), strict=True):
+            f.join(x, y)
+        stars = [(r, x) for x in range(len(ids)) if (r := f.root(x)) != x]
+        yield pa.RecordBatch.from_pydict({"a": ids[[r for r, _ in stars]], "b": ids[[x for _, x in stars]]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``id, component`` (its smallest member) of every node of ``edges(a, b)``.
 
-    Each partition first reduces its edges to a forest. Then, until no edge is left,
-    every node moves to its smallest neighbour, pointers are shortened and edges
+    Tasks that find edges reduce them by ``forest`` first. Until no edge is left, every node moves to its smallest neighbour, pointers are shortened and edges
     contracted. Sums are partial before shuffles and joins are left to AQE's splitting
     of skewed partitions, so a hub's edges never meet in one task; each round is
     written, so that a lost executor costs no more than its own tasks.
     """
 
-    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            a, z = b.column("a").to_numpy(), b.column("b").to_numpy()
-            ids, at = np.unique(np.concatenate([a, z]), return_inverse=True)
-            f = Forest(len(ids))
-            for x, y in zip(at[: len(a)].tolist(), at[len(a) :].tolist(), strict=True):
-                f.join(x, y)
-            stars = [(r, x) for x in range(len(ids)) if (r := f.root(x)) != x]
-            yield pa.RecordBatch.from_pydict({"a": ids[[r for r, _ in stars]], "b": ids[[x for _, x in stars]]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-
-    now = stored(edges.mapInArrow(reduce, "a bigint, b bigint").distinct(), "edges")
+    now = stored(edges.distinct(), "edges")
     labels: DataFrame | None = None
     while not now.isEmpty():
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))

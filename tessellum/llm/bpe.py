@@ -197,6 +197,8 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str] | None = No
                     columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.binary())]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        for memo in (bpe.words, bpe.memo, bpe.spaced):  # the worker may serve other operators next
+            memo.forget()
 
     columns = list(dict.fromkeys(["doc_id", *keep, "text"]))
     return map_batches(docs, columns, run, schema)

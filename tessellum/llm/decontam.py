@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_batches
+from ._common import map_batches, tidied
 
 _SPAN = 3  # words between diagonals that count as one
 _RARE = 8  # occurrences in the benchmark up to which a pair is a seed
@@ -270,6 +270,6 @@ def without_matches(docs: DataFrame, benchmark: DataFrame, edits: float = 0.1) -
                     clean = pa.array([not m for m in index.search(b.column("text").to_pylist())], pa.bool_())
                     yield b.filter(clean)
 
-        return frame.select(*columns).mapInArrow(run, schema)
+        return frame.select(*columns).mapInArrow(tidied(run), schema)
 
     return reduce(keep, groups(benchmark), docs)

@@ -25,8 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_batches, release, stored
-from ._similar import blocks_of, components, each_group, edges_of, grouped, in_blocks, linked_pairs
+from ._common import map_batches, release, stored, tidied
+from ._similar import blocks_of, components, each_group, edges_of, forest, grouped, in_blocks, linked_pairs
 from ._words import word_hashes
 
 #: Counters of the word sketch, a power of two: what the driver gets and broadcasts whatever the input.
@@ -178,7 +178,7 @@ def candidates(classes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
 
     posts = classes.select("id", "n", "bits", "bits2", F.posexplode("prefix").alias("pos", "key"))
-    return grouped(in_blocks(posts, "key", 2 * BLOCK), "key").mapInArrow(pairs, "a bigint, b bigint")
+    return grouped(in_blocks(posts, "key", 2 * BLOCK), "key").mapInArrow(tidied(lambda batches: forest(pairs(batches))), "a bigint, b bigint")
 
 
 def similar_classes(docs: DataFrame, members: DataFrame, levels: np.ndarray) -> DataFrame:
@@ -223,8 +223,8 @@ def similar_classes(docs: DataFrame, members: DataFrame, levels: np.ndarray) ->
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out]) for k in range(3)], names=["id", "links", "earlier"])
 
     wanted = members.groupBy("doc_id").agg(F.collect_list(F.struct("cluster", "id", "tie", "line")).alias("wanted"))  # at most a document's lines
-    lines = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "wanted").mapInArrow(fetch, "cluster bigint, id bigint, doc_id bigint, tie bigint, line int, tokens array<bigint>")
-    found = grouped(in_blocks(stored(lines, "line-sets"), "cluster", BLOCK), "cluster").mapInArrow(verify, "id bigint, links bigint, earlier boolean")
+    lines = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "wanted").mapInArrow(tidied(fetch), "cluster bigint, id bigint, doc_id bigint, tie bigint, line int, tokens array<bigint>")
+    found = grouped(in_blocks(stored(lines, "line-sets"), "cluster", BLOCK), "cluster").mapInArrow(tidied(verify), "id bigint, links bigint, earlier boolean")
     return found.groupBy("id").agg(F.sum("links").alias("links"), F.max("earlier").alias("earlier"))
 
 
@@ -253,7 +253,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     release(spark)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
             texts, n, removed, links = [], [], [], []
             for t, marks in zip(b.column("text").to_pylist(), b.column(marked).to_pylist(), strict=True):
                 pieces = t.split("\n") if t else []
@@ -273,4 +273,4 @@ def dedup(docs: DataFrame) -> DataFrame:
     by_doc = marks.groupBy("doc_id").agg(F.collect_list(F.struct("tie", "gone", "links")).alias(marked)).withColumnRenamed("doc_id", doc_key)
     joined = docs.join(by_doc.hint("merge"), docs["doc_id"] == by_doc[doc_key], "left").select(*(docs[c] for c in docs.columns), marked)
     head = ", ".join(f"`{c}` {k}" for c, k in docs.dtypes)
-    return joined.mapInArrow(cut, f"{head}, n_lines bigint, n_removed bigint, n_links bigint")
+    return joined.mapInArrow(tidied(cut), f"{head}, n_lines bigint, n_removed bigint, n_links bigint")

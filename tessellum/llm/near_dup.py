@@ -31,8 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_batches, release, stored
-from ._similar import blocks_of, components, each_group, edges_of, grouped, in_blocks, linked_pairs
+from ._common import map_batches, release, stored, tidied
+from ._similar import blocks_of, components, each_group, edges_of, forest, grouped, in_blocks, linked_pairs
 from ._words import joined, mix
 
 CHUNKS, SLOTS, ERRORS = 8, 5, 1
@@ -155,8 +155,8 @@ def candidates(reps: DataFrame) -> DataFrame:
                 x = np.array(sorted({(min(p), max(p)) for p in out if p[0] != p[1]}), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
 
-    probes = reps.select("id", "sig").mapInArrow(probe, "key bigint, id bigint, s1 bigint, s2 bigint")
-    return grouped(in_blocks(probes, "key", 4 * BLOCK), "key").mapInArrow(pairs, "a bigint, b bigint")
+    probes = reps.select("id", "sig").mapInArrow(tidied(probe), "key bigint, id bigint, s1 bigint, s2 bigint")
+    return grouped(in_blocks(probes, "key", 4 * BLOCK), "key").mapInArrow(tidied(lambda batches: forest(pairs(batches))), "a bigint, b bigint")
 
 
 def exact_links(sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -176,7 +176,7 @@ def exact_links(sets: DataFrame, num: int, den: int) -> DataFrame:
                 x = np.array(out, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
 
-    return grouped(in_blocks(sets, "cluster", BLOCK), "cluster").mapInArrow(verify, "a bigint, b bigint")
+    return grouped(in_blocks(sets, "cluster", BLOCK), "cluster").mapInArrow(tidied(lambda batches: forest(verify(batches))), "a bigint, b bigint")
 
 
 def shingle_sets(docs: DataFrame, clusters: DataFrame, width: int) -> DataFrame:
@@ -191,7 +191,7 @@ def shingle_sets(docs: DataFrame, clusters: DataFrame, width: int) -> DataFrame:
 
     # The clusters grow with the documents: a merge join at every size, never a broadcast. Stored, as dealing out reads them twice.
     chosen = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(clusters.hint("merge"), "id")
-    return stored(chosen.select("component", "id", "text").mapInArrow(run, "cluster bigint, id bigint, tokens array<bigint>"), "shingle-sets")
+    return stored(chosen.select("component", "id", "text").mapInArrow(tidied(run), "cluster bigint, id bigint, tokens array<bigint>"), "shingle-sets")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:

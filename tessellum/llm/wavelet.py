@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Memo, shared_dir
+from ._common import Memo, shared_dir, tidied
 
 _MAGIC = b"WMX1"
 _BLOCK = 4096  # bits between two rank samples
@@ -194,7 +194,7 @@ class WordEncoder:
     as it is, goes straight to the library's model; any other run takes the whole way.
     """
 
-    def __init__(self, path: str, memo: int = 600_000):
+    def __init__(self, path: str, memo: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -287,10 +287,11 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, shard_tokens: int
                         yield shard()
         if ids:
             yield shard()
+        enc.memo.forget()
 
     dealt = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     path = shared_dir(docs.sparkSession, "token-shards")
-    dealt.mapInArrow(run, SHARDS).write.option("compression", "uncompressed").parquet(path)
+    dealt.mapInArrow(tidied(run), SHARDS).write.option("compression", "uncompressed").parquet(path)
     return path
 
 
@@ -321,4 +322,4 @@ def read_shards(spark, path: str) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return shards.select("part", "before", "image").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return shards.select("part", "before", "image").mapInArrow(tidied(run), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
