@@ -79,9 +79,9 @@ def _near(spark, sf_dir, k):
     return vector.search(rows, rows.where("node_id % 20 = 0").withColumnRenamed("node_id", "query_id"), k)
 
 
-@query("WITH" + _VEC + "SELECT query_id, node_id, CAST(rank AS INTEGER) AS rank, round(-d, 6) AS score FROM near WHERE rank <= 8")
+@query("WITH" + _VEC + "SELECT query_id, node_id, CAST(rank AS INTEGER) AS rank, round(-d, 6) + 0.0 AS score FROM near WHERE rank <= 8")
 def vector_top_k(spark, sf_dir):
-    return _near(spark, sf_dir, 8).select("query_id", "node_id", "rank", F.round("raw_score", 6).alias("score"))
+    return _near(spark, sf_dir, 8).select("query_id", "node_id", "rank", (F.round("raw_score", 6) + 0.0).alias("score"))  # never -0
 
 
 def _hits(spark, sf_dir):
