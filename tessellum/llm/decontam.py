@@ -1,13 +1,13 @@
 """Operator 10: benchmark passages in documents, up to a share of edits.
 
-Texts and items are lower-cased and their white space becomes single spaces. Windows
-of an item's size are laid where at least three of the item's rarer word pairs
-(fewer for short items) occur on nearly one diagonal. Windows and items are embedded by CGK
-random walks: each step emits a character and stays or moves on by a random bit of
-step and character, which turns edit distance into Hamming distance. ``repeats`` walks,
-each with ``bits`` sampled steps, give the LSH; a window that agrees with its item on
-all sampled steps of a walk is verified by the exact edit distance of the item to its
-nearest substring there. At 10 % random edits, tests measure a recall above 0.95.
+Texts and items are lower-cased and their white space becomes single spaces. Items are
+cut into pieces of ``q`` characters, at least one more than the edits allowed: an edit
+spoils one piece at most, so that of ``n`` pieces at least ``n - edits`` stand verbatim in
+any passage that matches, on diagonals no further apart than the edits. Every place of a
+text is looked up among the hashes of all pieces, however common they are, and every run
+of that many hits is verified by the exact edit distance of the item to the substrings
+there. What is found is therefore exact and complete, whatever else is in the benchmark;
+no embedding or LSH, which would lose matches, stands before the verification.
 
 Items of fewer than four words must occur exactly. The index of the items is
 broadcast in groups of a bounded size; larger benchmarks take more scans.
@@ -20,10 +20,8 @@ an empty table on either side gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,143 +30,106 @@ from pyspark.sql import functions as F
 
 from ._common import map_batches, tidied
 
-_SPAN = 3  # words between diagonals that count as one
-_RARE = 8  # occurrences in the benchmark up to which a pair is a seed
-_LEAST = 12  # rarest pairs of an item that are seeds anyway
+_PIECE = 8  # longest piece, in characters
+_CHUNK = 1 << 20  # characters that are looked up at a time, unless a text is longer
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Index:
-    """Items, their seeds and their embeddings."""
+    """Items and the hashes of their pieces."""
 
-    def __init__(self, items: list[tuple[int, str]], edits: float, repeats: int = 24, bits: int = 3, seed: int = 3):
-        self.items: list[tuple[int, list[str], str, int]] = []
+    def __init__(self, items: list[tuple[int, str]], edits: float):
+        self.items: list[tuple[int, int, str, int]] = []  # id, words, text, edits
         for item_id, text in items:
             words = (text or "").lower().split()
             if words:
                 flat = " ".join(words)
-                self.items.append((item_id, words, flat, int(len(flat) * edits) if len(words) > 3 else 0))
-        self.vocab = {w: i for i, w in enumerate(sorted({w for _, ws, *_ in self.items for w in ws}))}
-        self.size = len(self.vocab) + 1
-        grams: list[list[int]] = []
-        for _, ws, *_ in self.items:
-            ids = [self.vocab[w] + 1 for w in ws]
-            grams.append([a * self.size + b for a, b in zip(ids, ids[1:], strict=False)] or [ids[0]])  # one word: a key below any pair's
-        df = Counter(chain.from_iterable(grams))
-        seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        need = []
-        for i, g in enumerate(grams):
-            ranked = sorted(range(len(g)), key=lambda k: (df[g[k]], k))
-            chosen = [k for n, k in enumerate(ranked) if n < _LEAST or df[g[k]] <= _RARE]
-            for k in chosen:
-                seeds[g[k]].append((i, k))
-            need.append(3 if len(g) > 15 else 2 if len(g) > 7 else 1)
-        self.need = np.array(need, np.int64)
-        self.keys = np.array(sorted(seeds), np.int64)
-        lists = [seeds[k] for k in self.keys.tolist()]
-        self.starts = np.cumsum([0, *map(len, lists)])
-        self.of = np.array([x for xs in lists for x in xs], np.int64).reshape(-1, 2)
-        self.words = np.array([len(ws) for _, ws, *_ in self.items], np.int64)
-        self.singles = bool((self.keys < self.size).any())
-        rng = np.random.default_rng(seed)
-        self.longest = max((len(f) for _, _, f, _ in self.items), default=1)
-        self.steps = max(8, 2 * self.longest)
-        self.moves = rng.integers(0, 2, (self.steps, repeats * 512), dtype=np.int8)
-        self.draw = rng.random((repeats, bits))
-        self.codes = [_codes(f) for _, _, f, _ in self.items]
-        self.marks = self._sampled(self.codes, np.array([len(c) for c in self.codes])) if self.items else None
-
-    def _sampled(self, texts: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
-        """Characters at the sampled steps (walk by text by sample) of CGK walks; ``sizes`` sets the scale of the samples, so that a window uses its item's."""
-        repeats, bits = self.draw.shape
-        wide = max(map(len, texts)) + 1
-        grid = np.full((len(texts), wide), 511, np.int32)
-        for i, t in enumerate(texts):
-            grid[i, : len(t)] = t
-        at = (self.draw[:, None, :] * np.maximum(1, 1.8 * sizes - 1)[None, :, None]).astype(np.int32)
-        out = np.zeros(at.size, np.int32)
-        order = np.argsort(at.ravel(), kind="stable")
-        flat = at.ravel()[order]
-        cuts = np.searchsorted(flat, np.arange(int(flat[-1]) + 2))
-        # Places are kept as offsets in the flat grid, each walk's row of moves as offsets in a step's table.
-        grid, end = grid.ravel(), np.arange(len(texts), dtype=np.int64) * wide + wide - 1
-        place = np.tile(end - wide + 1, repeats)
-        end, row = np.tile(end, repeats), np.repeat(np.arange(repeats, dtype=np.int64) * 512, len(texts))
-        for j in range(int(flat[-1]) + 1):
-            c = grid.take(place)
-            if cuts[j] < cuts[j + 1]:
-                now = order[cuts[j] : cuts[j + 1]]
-                out[now] = c.take(now // bits)
-            place += self.moves[j].take(row + c)
-            np.minimum(place, end, out=place)
-        return out.reshape(at.shape)
-
-    def windows(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """``item, start`` of windows, as places among the words of all texts of a batch."""
-        if len(ids) < 1 or not len(self.keys):
-            return (np.zeros(0, np.int64),) * 2
-        pair = np.zeros(len(ids), np.int64)
-        pair[:-1] = np.where((ids[:-1] > 0) & (ids[1:] > 0), ids[:-1] * self.size + ids[1:], 0)
-        pair[ends[ends > 0] - 1] = 0
-        found = []
-        for keys in (pair, ids) if self.singles else (pair,):
-            some = np.flatnonzero(keys)
-            at = np.searchsorted(self.keys, keys[some])
-            at[at == len(self.keys)] = 0
-            ok = self.keys[at] == keys[some]
-            found.append((some[ok], at[ok]))
-        where, at = (np.concatenate(x) for x in zip(*found, strict=True))
-        counts = self.starts[at + 1] - self.starts[at]
-        which = np.repeat(self.starts[at], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        item, diagonal = self.of[which, 0], np.repeat(where, counts) - self.of[which, 1]
-        order = np.lexsort((diagonal, item))
-        item, diagonal = item[order], diagonal[order]
-        if not len(item):
-            return item, diagonal
-        new = np.concatenate([[True], (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > _SPAN)])
-        starts = np.flatnonzero(new)
-        sizes = np.diff(np.append(starts, len(item)))
-        chosen = np.repeat(sizes >= self.need[item[starts]], sizes)
-        first = chosen & np.concatenate([[True], (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1])])
-        return item[first], diagonal[first]
+                self.items.append((item_id, len(words), flat, int(len(flat) * edits) if len(words) > 3 else 0))
+        self.sizes = np.array([len(f) for _, _, f, _ in self.items], np.int64)
+        self.most = np.array([k for *_, k in self.items], np.int64)
+        self.longest = int(self.sizes.max(initial=1))
+        piece = np.ones(len(self.items), np.int64)
+        for q in range(2, _PIECE + 1):
+            piece[self.sizes // q > self.most] = q
+        self.need = np.maximum(1, self.sizes // piece - self.most)
+        codes = _codes("".join(f for _, _, f, _ in self.items))
+        first = np.cumsum(self.sizes) - self.sizes
+        #: For each length: hashes in order with the item and the place of the piece, and the hashes' leading bits as a bitmap.
+        self.tables: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.uint64, np.ndarray]] = []
+        for q in np.unique(piece).tolist():
+            some = np.flatnonzero(piece == q)
+            n = self.sizes[some] // q
+            item = np.repeat(some, n)
+            at = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * q
+            keys = _hashes(codes, q)[first[item] + at]
+            order = np.argsort(keys, kind="stable")
+            bits = max(16, int(16 * len(keys)).bit_length())
+            shift = np.uint64(64 - bits)
+            seen = np.zeros(1 << bits, bool)
+            seen[keys >> shift] = True
+            self.tables.append((q, keys[order], item[order], at[order], shift, seen))
+
+    def candidates(self, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``item, text, diagonal`` where enough pieces of an item occur; ``starts``: of the texts among ``codes``. A diagonal is the place at which the item would begin without insertions or deletions."""
+        width, found = len(codes) + self.longest + 1, []
+        for q, keys, item, at, shift, seen in self.tables:
+            if len(codes) < q:
+                continue
+            h = _hashes(codes, q)
+            where = np.flatnonzero(seen[h >> shift])
+            lo, hi = (np.searchsorted(keys, h[where], side=side) for side in ("left", "right"))
+            counts = hi - lo
+            which = np.repeat(lo, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            text = np.repeat(np.searchsorted(starts, where, side="right") - 1, counts)
+            found.append((item[which] * len(starts) + text) * width + np.repeat(where, counts) - at[which] + self.longest)
+        keys = np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        item = keys // (width * len(starts))
+        last = np.arange(len(keys)) + self.need[item] - 1
+        ok = last < len(keys)
+        ok[ok] = keys[last[ok]] - keys[ok] <= self.most[item[ok]]
+        keys, item = keys[ok], item[ok]
+        return item, keys // width % len(starts), keys % width - self.longest
 
     def search(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
         """Matches of each text: item id, first and last word, edits."""
-        words = [t.lower().split() if t else [] for t in texts]
-        flat = list(chain.from_iterable(words))
-        ids = np.fromiter(map(self.vocab.get, flat, repeat(-1)), np.int64, len(flat)) + 1
-        ends = np.cumsum([len(w) for w in words])
-        out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
-        items, starts = self.windows(ids, ends)
+        flats = [" ".join(t.lower().split()) if t else "" for t in texts]
+        out: list[list[tuple[int, int, int, int]]] = []
+        at = 0
+        while at < len(flats):
+            end, size = at + 1, len(flats[at])
+            while end < len(flats) and size + len(flats[end]) < _CHUNK:
+                size += len(flats[end]) + 1
+                end += 1
+            out += self._search(flats[at:end])
+            at = end
+        return out
+
+    def _search(self, flats: list[str]) -> list[list[tuple[int, int, int, int]]]:
+        out: list[list[tuple[int, int, int, int]]] = [[] for _ in flats]
+        ends = np.cumsum([len(f) + 1 for f in flats])
+        starts = ends - [len(f) + 1 for f in flats]
+        items, docs, diagonals = self.candidates(_codes("\n".join(flats) + "\n"), starts)
         if not len(items):
             return out
-        doc = np.searchsorted(ends, np.clip(starts + self.words[items] // 2, 0, len(flat) - 1), side="right")
-        tries: list[tuple[int, int, int, int]] = []
-        for i, s, d in zip(items.tolist(), starts.tolist(), doc.tolist(), strict=True):
-            lo = int(ends[d]) - len(words[d])
-            tries.append((i, d, max(lo, s), lo))
-        passed: set[tuple[int, int, int]] = set()
-        for a in range(0, len(tries), 2000):
-            part = tries[a : a + 2000]
-            of = np.array([t[0] for t in part])
-            cut = [_codes(" ".join(flat[s : s + len(self.items[i][1]) + 2])[: len(self.items[i][2])]) for i, _, s, _ in part]
-            marks = self._sampled(cut, np.array([len(self.codes[i]) for i in of.tolist()]))
-            agree = (marks == self.marks[:, of, :]).all(axis=2).any(axis=0)
-            passed |= {(d, i, s) for (i, d, s, _), ok in zip(part, agree.tolist(), strict=True) if ok}
+        diagonals = diagonals - starts[docs]
+        new = np.concatenate([[True], (items[1:] != items[:-1]) | (docs[1:] != docs[:-1]) | (np.diff(diagonals) > self.most[items[1:]])])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(items)) - 1
         best: dict[tuple[int, int, int], tuple[int, int, int]] = {}
-        for d, i, s in sorted(passed):
-            item_id, ws, text, most = self.items[i]
-            lo = int(ends[d]) - len(words[d])
-            a, z = max(lo, s - 2), min(int(ends[d]), s + len(ws) + 3 + most // 4)
-            region = " ".join(flat[a:z])
-            edits, start, end = nearest(text, region)
-            if edits <= most and (most or (start == 0 or region[start - 1] == " ") and (end == len(region) or region[end] == " ")):
-                w0, w1 = a - lo + region.count(" ", 0, start), a - lo + region.count(" ", 0, max(start, end - 1))
+        for i, d, lo, hi in zip(items[first].tolist(), docs[first].tolist(), diagonals[first].tolist(), diagonals[last].tolist(), strict=True):
+            item_id, _, text, most = self.items[i]
+            flat, a = flats[d], max(0, lo - most)
+            for edits, start, end in _places(text, flat[a : max(0, hi) + len(text) + most], most):
+                start, end = a + start, a + end
+                if not most and not ((start == 0 or flat[start - 1] == " ") and (end == len(flat) or flat[end] == " ")):
+                    continue
+                w0, w1 = flat.count(" ", 0, start), flat.count(" ", 0, max(start, end - 1))
                 key = (d, i, w0)
                 if key not in best or edits < best[key][0]:
                     best[key] = (edits, w1, item_id)
         for (d, i, w0), (edits, w1, item_id) in sorted(best.items()):
             rows = out[d]
-            if rows and rows[-1][0] == item_id and rows[-1][1] + len(self.items[i][1]) // 2 > w0:  # the same place again
+            if rows and rows[-1][0] == item_id and rows[-1][1] + self.items[i][1] // 2 > w0:  # the same place again
                 if rows[-1][3] > edits:
                     rows[-1] = (item_id, w0, w1, edits)
             else:
@@ -177,19 +138,28 @@ class Index:
 
 
 def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64) % 509
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
 
 
-def _ends(pattern: str, text: str, anchored: bool = False) -> tuple[int, int]:
-    """Least edits of ``pattern`` against a substring (``anchored``: a prefix) of ``text``, and the last end at which they occur (bit-parallel columns)."""
+def _hashes(codes: np.ndarray, q: int) -> np.ndarray:
+    """Hashes of the ``q`` characters from every place on."""
+    n = max(0, len(codes) - q + 1)
+    h = np.zeros(n, np.uint64)
+    for j in range(q):
+        h *= _BASE
+        h += codes[j : j + n]
+    return h * _BASE
+
+
+def _scores(pattern: str, text: str, anchored: bool = False) -> Iterator[int]:
+    """Least edits of ``pattern`` against the substrings (``anchored``: the prefix) of ``text`` that end after each character (bit-parallel columns)."""
     m = len(pattern)
     masks: dict[str, int] = {}
     for i, c in enumerate(pattern):
         masks[c] = masks.get(c, 0) | 1 << i
     full, top = (1 << m) - 1, 1 << (m - 1)
     up, down, score = full, 0, m
-    best, end = m, 0
-    for j, c in enumerate(text, 1):
+    for c in text:
         eq = masks.get(c, 0)
         xv = eq | down
         xh = (((eq & up) + up) ^ up) | eq
@@ -200,11 +170,35 @@ def _ends(pattern: str, text: str, anchored: bool = False) -> tuple[int, int]:
             score -= 1
         ph, mh = (ph << 1 | anchored) & full, mh << 1 & full
         up, down = mh | ~(xv | ph) & full, ph & xv
+        yield score
+
+
+def _ends(pattern: str, text: str, anchored: bool = False) -> tuple[int, int]:
+    """Least edits of ``pattern`` against a substring (``anchored``: a prefix) of ``text``, and the last end at which they occur."""
+    best, end = len(pattern), 0
+    for j, score in enumerate(_scores(pattern, text, anchored), 1):
         if score <= best:
             best, end = score, j
     return best, end
 
 
+def _places(pattern: str, text: str, most: int) -> list[tuple[int, int, int]]:
+    """Edits, start and end of the substrings within ``most`` edits of ``pattern``; of ends less than half of it apart the nearest."""
+    found: list[list[int]] = []
+    for j, score in enumerate(_scores(pattern, text), 1):
+        if score > most:
+            continue
+        if not found or j - found[-1][0] > len(pattern) // 2:
+            found.append([j, score, j])
+        elif score <= found[-1][1]:
+            found[-1][1:] = [score, j]
+    out = []
+    for _, edits, end in found:
+        _, size = _ends(pattern[::-1], text[max(0, end - len(pattern) - edits) : end][::-1], anchored=True)
+        out.append((edits, end - size, end))
+    return out
+
+
 def nearest(pattern: str, text: str) -> tuple[int, int, int]:
     """Edits, start and end of the substring of ``text`` nearest to ``pattern``."""
     edits, end = _ends(pattern, text)

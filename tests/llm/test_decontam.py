@@ -48,6 +48,29 @@ def test_recall_of_edited_items():
         assert hit >= least * 5 * len(items), (share, hit)
 
 
+def test_recall_at_all_edits_of_short_items_and_common_pairs():
+    rng = random.Random(11)
+    common = words(rng, 6)
+    plain = [(i, " ".join(words(rng, rng.randrange(4, 30)))) for i in range(60)]
+    pairs = [(i, " ".join(rng.choice(common) for _ in range(rng.randrange(12, 40)))) for i in range(200)]
+    for items in (plain, pairs):
+        index = decontam.Index(items, 0.1)
+        for item, text in items:
+            doc = " ".join([*words(rng, 20), edited(rng, text, 0.1), *words(rng, 20)])
+            want = {i for i, t in items if decontam._ends(t, doc)[0] <= int(len(t) * 0.1)}
+            assert item in want and {m[0] for m in index.search([doc])[0]} == want
+
+
+def test_results_do_not_depend_on_the_size_of_the_benchmark():
+    rng = random.Random(12)
+    for _ in range(40):
+        text = " ".join(words(rng, 20))
+        doc = edited(rng, text, 0.1)
+        more = [(i, text) for i in range(2, 40)]
+        alone, among = ([m for m in decontam.Index(items, 0.1).search([doc])[0] if m[0] == 1] for items in ([(1, text)], [(1, text), *more]))
+        assert alone == among != []
+
+
 def test_equals_brute_force(spark, sf_dir, documents, rows):
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     items = [(r["item_id"], r["text"]) for r in benchmark.select("item_id", "text").collect()]
