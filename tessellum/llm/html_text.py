@@ -3,10 +3,12 @@
 The standard library's parser streams events; block-level tags cut the page into
 lines, each with its text, its tags and the elements around it. A line's ratio is its
 text outside links over its tags (none in menus, forms, adverts and the like). The
-ratios, smoothed by a Gaussian, fall into two clusters; the threshold between them
-marks content. Marked lines choose the region: the ``article`` or ``main`` elements
-that hold them, whose other lines (headings, short paragraphs) belong to it too, or,
-on pages without such elements, the marked lines and the headings before them.
+ratios, smoothed by a Gaussian, fall (as logarithms, since they span several powers of
+ten) into two clusters; the threshold between them marks content. Marked lines choose
+the ``article`` and ``main`` elements: all that hold one are kept, with their lines of
+more text than links and the headings before these. Where such elements hold less than
+half of the marked text, or there are none, the marked lines themselves are kept, with
+the headings before and the short paragraphs between them.
 
 Edge cases: null or empty html, or a page without content, gives an empty text;
 markup that ends early or is nested wrongly is read as far as it goes; repeated rows
@@ -178,29 +180,42 @@ def extract(html: str | None) -> str:
     lines = []
     for pieces, linked, tags, region, out, heading in parser.lines:
         text = " ".join("".join(pieces).split()) if not out else ""
-        lines.append((text, max(0, len(text) - linked) / max(1, tags) if text else 0.0, region, heading))
+        own = max(0, len(text) - linked)
+        lines.append((text, own / max(1, tags), own, region, heading))
+    return "\n\n".join(_content(lines))
+
+
+def _content(lines: list[tuple[str, float, int, int, bool]]) -> list[str]:
+    """Texts of the content among lines (text, ratio, letters outside links, region, heading)."""
     if not any(text for text, *_ in lines):
-        return ""
-    smoothed = smooth([ratio for _, ratio, *_ in lines])
+        return []
+    smoothed = [math.log1p(v) for v in smooth([ratio for _, ratio, *_ in lines])]
     mark = threshold(smoothed)
     marked = [bool(text) and v >= mark and ratio > 0 for (text, ratio, *_), v in zip(lines, smoothed, strict=True)]
-    mass: dict[int, float] = {}
-    for (text, _, region, _), v in zip(lines, smoothed, strict=True):
-        if region and text:
-            mass[region] = mass.get(region, 0.0) + v
-    if mass:
-        best = max(mass.values())
-        chosen = {r for r, m in mass.items() if m >= 0.5 * best}
-        return "\n\n".join(text for text, _, region, _ in lines if text and region in chosen)
+    chosen = {region for (*_, region, _), m in zip(lines, marked, strict=True) if m and region}
+    inside = sum(own for (_, _, own, region, _), m in zip(lines, marked, strict=True) if m and region)
+    if chosen and 2 * inside >= sum(own for (_, _, own, *_), m in zip(lines, marked, strict=True) if m):
+        keep = [region in chosen and bool(text) and not heading and 2 * own > len(text) for text, _, own, region, heading in lines]
+        following, passed = 0, 0
+        for i in range(len(lines) - 1, -1, -1):
+            text, _, _, region, heading = lines[i]
+            if keep[i]:
+                following, passed = region, 0
+            elif text and heading and region in chosen and following == region and passed < 2:
+                keep[i] = True
+            elif text:  # one line of links, such as a name, may stand between
+                passed += 1
+        return [line[0] for line, k in zip(lines, keep, strict=True) if k]
     first = next((i for i, m in enumerate(marked) if m), 0)
     keep = list(marked)
     for i in range(len(lines) - 1, -1, -1):
-        if lines[i][3] and lines[i][0] and any(keep[i + 1 : i + 3]):
+        if lines[i][4] and lines[i][0] and any(keep[i + 1 : i + 3]):
             keep[i] = True
     last = max((i for i, m in enumerate(marked) if m), default=-1)
     for i in range(first, last):  # short paragraphs between two marked ones
-        keep[i] = keep[i] or bool(lines[i][0]) and lines[i][1] > 0
-    return "\n\n".join(line[0] for line, k in zip(lines, keep, strict=True) if k)
+        text, _, own, _, _ = lines[i]
+        keep[i] = keep[i] or bool(text) and 2 * own > len(text)
+    return [line[0] for line, k in zip(lines, keep, strict=True) if k]
 
 
 def main_text(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:

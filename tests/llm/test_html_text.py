@@ -24,6 +24,28 @@ def test_page_without_article_element():
     assert html_text.extract(html) == "Head\n\n" + "\n\n".join(f"{LONG} {i}." for i in (1, 2, 3))
 
 
+def test_thresholded_lines_choose_among_articles():
+    second = f"<article><h2>Second</h2><p>{LONG} 9.</p></article>"
+    first = "<article>" + "".join(f"<p>{LONG} {i}.</p>" for i in range(6)) + "</article>"
+    got = html_text.extract(page(first + second))
+    assert got == "\n\n".join([*(f"{LONG} {i}." for i in range(6)), "Second", f"{LONG} 9."])
+
+
+def test_link_lists_in_an_article_are_left_out():
+    links = "<h3>More</h3><ul>" + "<li><a href=x>Some entry of a list of links</a></li>" * 5 + "</ul>"
+    assert html_text.extract(page(f"<article><h1>Head</h1><p>{LONG} 1.</p>{links}<p>{LONG} 2.</p></article>")) == f"Head\n\n{LONG} 1.\n\n{LONG} 2."
+
+
+def test_a_linked_name_below_the_title_does_not_cut_it_off():
+    assert html_text.extract(page(f"<article><h1>Head</h1><p><a href=x>A Name</a></p><p>{LONG}</p></article>")) == f"Head\n\n{LONG}"
+
+
+def test_teasers_do_not_replace_the_content_outside_them():
+    teasers = "".join(f"<article><h3>Teaser {i}</h3><p>Read on.</p></article>" for i in range(3))
+    got = html_text.extract(page("<div>" + "".join(f"<p>{LONG} {i}.</p>" for i in range(6)) + f"</div><div>{teasers}</div>"))
+    assert all(f"{LONG} {i}." in got for i in range(6))
+
+
 def test_inline_markup_and_entities():
     assert html_text.extract(page(f"<main><p>{LONG} <b>bo</b>ld<br>next &lt;tag&gt; &euro;</p></main>")) == f"{LONG} bold next <tag> €"
 
