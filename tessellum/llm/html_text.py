@@ -10,6 +10,11 @@ more text than links and the headings before these. Where such elements hold les
 half of the marked text, or there are none, the marked lines themselves are kept, with
 the headings before and the short paragraphs between them.
 
+Boxes named by class, id or role for something else, and forms, are left out with all
+they hold, but not where they wrap the page: a box that holds an ``article`` or
+``main`` while none stands outside such boxes, or more than half of the text outside links
+while no such element does, counts as none. If nothing is left, all boxes count as none.
+
 Edge cases: null or empty html, or a page without content, gives an empty text;
 markup that ends early or is nested wrongly is read as far as it goes; repeated rows
 give equal results; an empty table gives no rows; extra columns are ignored.
@@ -28,7 +33,7 @@ from pyspark.sql import DataFrame
 from ._common import map_batches
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-_SKIP = frozenset("script style noscript template svg math iframe object canvas audio video map head title nav footer aside form button select textarea datalist dialog menu label fieldset".split())
+_SKIP = frozenset("script style noscript template svg math iframe object canvas audio video map head title nav footer aside button select textarea datalist dialog menu label fieldset".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody tfoot thead tr ul".split())
 _SPACE = frozenset("br td th option img wbr".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -44,30 +49,29 @@ _TOKENS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class _Lines(HTMLParser):
-    """Cuts a page into lines: [pieces of text, letters in links, tags, region, excluded, heading]."""
+    """Cuts a page into lines: [pieces of text, letters in links, tags, region, excluded, heading, boxes around it]."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[list] = []
-        self.stack: list[tuple[str, bool, int]] = [("", False, 0)]  # tag, excluded, region
-        self.regions = 0
+        self.stack: list[tuple[str, bool, int, tuple[int, ...]]] = [("", False, 0, ())]  # tag, excluded, region, boxes
+        self.regions: list[tuple[int, ...]] = [()]  # boxes around each
+        self.boxes = 0
         self.links = 0
         self.line: list | None = None
 
     def _cut(self) -> None:
         self.line = None
 
-    def _noise(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def _hidden(self, attrs: list[tuple[str, str | None]]) -> bool:
+        return any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v, re.I) for k, v in attrs)
+
+    def _box(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         inside = self.stack[-1][2] > 0
         for k, v in attrs:
-            if k == "hidden" or k == "aria-hidden" and v == "true":
-                return True
             if not v:
                 continue
-            if k == "style":
-                if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v, re.I):
-                    return True
-            elif k == "role":
+            if k == "role":
                 if v.lower() in _ROLES:
                     return True
             elif k in ("class", "id"):
@@ -90,17 +94,20 @@ class _Lines(HTMLParser):
             if self.line is not None:
                 self.line[2] += 1
             return
-        _, out, region = stack[-1]
+        _, out, region, boxes = stack[-1]
         if not out:
             out = tag in _SKIP or tag == "header" and not region
-            if not out and attrs and tag not in ("html", "body", "article", "main"):
-                out = self._noise(tag, attrs)
+            if not out and tag not in ("html", "body", "article", "main"):
+                out = self._hidden(attrs)
+                if not out and (tag == "form" or self._box(tag, attrs)):
+                    self.boxes += 1
+                    boxes = (*boxes, self.boxes)
         if tag in _REGION and not region and not out:
-            self.regions += 1
-            region = self.regions
+            region = len(self.regions)
+            self.regions.append(boxes)
         if tag == "a":
             self.links += 1
-        stack.append((tag, out, region))
+        stack.append((tag, out, region, boxes))
         if self.line is not None:
             self.line[2] += 1
 
@@ -128,12 +135,16 @@ class _Lines(HTMLParser):
                 break  # a stray end tag closes nothing outside the region
 
     def handle_data(self, data: str) -> None:
-        _, out, region = self.stack[-1]
+        _, out, region, boxes = self.stack[-1]
+        if self.line is not None and boxes != self.line[6]:
+            if boxes[: len(self.line[6])] == self.line[6]:
+                return  # a box within a line wraps nothing
+            self.line = None
         if self.line is None:
             if data.isspace():
                 return
             heading = any(s[0] in _HEADINGS for s in self.stack[-3:])
-            self.line = [[], 0, 1, region, out, heading]
+            self.line = [[], 0, 1, region, out, heading, boxes]
             self.lines.append(self.line)
         if not out:
             self.line[0].append(data)
@@ -177,12 +188,41 @@ def extract(html: str | None) -> str:
     if re.match("<[a-zA-Z/!?]", parser.rawdata):  # a tag or comment that never ends is no text
         parser.rawdata = ""
     parser.close()
-    lines = []
-    for pieces, linked, tags, region, out, heading in parser.lines:
+    lines, around = [], []
+    for pieces, linked, tags, region, out, heading, boxes in parser.lines:
         text = " ".join("".join(pieces).split()) if not out else ""
         own = max(0, len(text) - linked)
         lines.append((text, own / max(1, tags), own, region, heading))
-    return "\n\n".join(_content(lines))
+        around.append(boxes)
+    if not parser.boxes:
+        return "\n\n".join(_content(lines))
+    wrapping = _wrapping(lines, around, parser.regions)
+    inner = [line if wrapping.issuperset(boxes) else ("", 0.0, 0, line[3], line[4]) for line, boxes in zip(lines, around, strict=True)]
+    return "\n\n".join(_content(inner) or _content(lines))
+
+
+def _wrapping(lines: list[tuple[str, float, int, int, bool]], around: list[tuple[int, ...]], regions: list[tuple[int, ...]]) -> set[int]:
+    """Boxes that wrap the page and so exclude nothing, outer ones before those in them."""
+    own: dict[int, int] = {}
+    filled: set[tuple[int, ...]] = set()  # boxes around the regions that have text of their own
+    for (_, _, n, region, _), boxes in zip(lines, around, strict=True):
+        for box in boxes:
+            own[box] = own.get(box, 0) + n
+        if n and region and boxes == regions[region]:
+            filled.add(boxes)
+    total = sum(n for _, _, n, *_ in lines)
+    wrapping: set[int] = set()
+    outer = {box: boxes[:i] for boxes in around for i, box in enumerate(boxes)}
+    free = any(wrapping.issuperset(boxes) for boxes in filled)
+    holding = {box for boxes in filled for box in boxes}
+    while not free:
+        level = [box for box, up in outer.items() if box not in wrapping and wrapping.issuperset(up)]
+        more = [box for box in level if box in holding] if filled else [box for box in level if 2 * own[box] > total]
+        if not more:
+            break
+        wrapping.update(more)
+        free = any(wrapping.issuperset(boxes) for boxes in filled)
+    return wrapping
 
 
 def _content(lines: list[tuple[str, float, int, int, bool]]) -> list[str]:

@@ -46,6 +46,28 @@ def test_teasers_do_not_replace_the_content_outside_them():
     assert all(f"{LONG} {i}." in got for i in range(6))
 
 
+@pytest.mark.parametrize("wrap", ["<div class='content-sidebar-wrap'>%s</div>", "<div class='layout with-sidebar'>%s</div>", "<div id='search-results'>%s</div>", "<section class='legal'>%s</section>", "<form action=x>%s</form>", "<form><div class='with-sidebar'>%s</div></form>"])
+def test_a_box_around_the_page_does_not_exclude_it(wrap):
+    text = f"<p>{LONG} 1.</p><p>{LONG} 2.</p>"
+    advert = "<div class='advert'>Buy now</div>"
+    for body in (f"<article>{text}{advert}</article>", text + advert):
+        assert html_text.extract(page(wrap % body)) == f"{LONG} 1.\n\n{LONG} 2."
+
+
+def test_many_comments_beside_an_article_stay_excluded():
+    comments = "<section id='comments'>" + f"<article><p>{LONG}</p></article>" * 9 + "</section>"
+    assert html_text.extract(page(f"<article><p>{LONG} 1.</p></article>{comments}")) == f"{LONG} 1."
+
+
+def test_boxes_count_when_nothing_else_is_left():
+    boxes = "".join(f"<div class='notice'><p>{LONG} {i}.</p></div>" for i in range(3))
+    assert html_text.extract(page(boxes)) == "\n\n".join(f"{LONG} {i}." for i in range(3))
+
+
+def test_a_box_within_a_line():
+    assert html_text.extract(page(f"<article><p>{LONG} <span class='ad'>Buy now</span> 1.</p><p><span class='ad'>Buy now</span> {LONG} 2.</p></article>")) == f"{LONG} 1.\n\n{LONG} 2."
+
+
 def test_inline_markup_and_entities():
     assert html_text.extract(page(f"<main><p>{LONG} <b>bo</b>ld<br>next &lt;tag&gt; &euro;</p></main>")) == f"{LONG} bold next <tag> €"
 
