@@ -6,8 +6,9 @@ import email
 import email.policy
 import quopri
 import re
+from collections import Counter
 from collections.abc import Iterator
-from html import escape
+from html import escape, unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -16,13 +17,20 @@ from pyspark.sql import functions as F
 
 DROPPED = {"script", "style", "meta", "link", "noscript", "svg"}
 NOISE = ("page-metadata", "page-metadata-banner", "content-byline", "toc", "toc-indentation", "tocoutline", "toc-macro", "confluencetablesmall", "print-only", "hidden")
+#: Fixed value: what untitled tables are called.
+TABLE_MARK = "表格"
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+DEEPEST = 250
+_EMPHASIS = {"b": "**", "strong": "**", "i": "*", "em": "*"}
+#: Tags that close the inline tags still open in front of them.
+_BLOCKS = set("address article aside blockquote body div dl dt dd fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
 _SUFFIX = {"image/png": ".png", "image/jpeg": ".jpg", "image/gif": ".gif", "image/bmp": ".bmp", "image/webp": ".webp", "image/svg+xml": ".svg", "image/tiff": ".tiff"}
 
 
 class Node:
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
+        self.depth: int = parent.depth + 1 if parent is not None else 0
         self.children: list[Node | str] = []
 
     def text(self) -> str:
@@ -43,13 +51,17 @@ class Node:
 
 
 class _Tree(HTMLParser):
-    """Comments never enter the tree; an end tag closes up to its start, a stray one nothing."""
+    """Comments never enter the tree; an end tag closes up to its start, a stray one nothing. Tags nested deeper than ``DEEPEST`` hold nothing: what follows stands beside them."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("", {}, None)
+        self.flat: Counter[str] = Counter()  # open tags that are too deep
 
     def handle_starttag(self, tag, attrs):
+        if tag in _BLOCKS:
+            while self.at.tag in _EMPHASIS and self.at.parent is not None:
+                self.at = self.at.parent
         if tag in ("p", "li", "tr", "td", "th") and self.at.tag == tag or tag == "tr" and self.at.tag in ("td", "th"):
             self.at = self.at.parent or self.root
             if tag == "tr" and self.at.tag == "tr":
@@ -57,12 +69,18 @@ class _Tree(HTMLParser):
         n = Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.children.append(n)
         if tag not in VOID:
-            self.at = n
+            if n.depth < DEEPEST:
+                self.at = n
+            else:
+                self.flat[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.at.children.append(Node(tag, {k: v or "" for k, v in attrs}, self.at))
 
     def handle_endtag(self, tag):
+        if self.flat[tag]:
+            self.flat[tag] -= 1
+            return
         n = self.at
         while n is not None and n.tag != tag:
             n = n.parent
@@ -91,19 +109,25 @@ def _noise(n: Node) -> bool:
 
 
 def clean(root: Node) -> Node:
-    """Drops scripts, hidden and exported clutter and empty fonts; tables that nothing titles get a numbered marker."""
+    """Drops scripts, hidden and exported clutter and fonts without text; tables that nothing titles get a numbered marker."""
 
-    def prune(n: Node) -> None:
+    def prune(n: Node) -> bool:
+        """Whether text is left."""
         kept: list[Node | str] = []
+        some = False
         for c in n.children:
-            if isinstance(c, Node):
+            if isinstance(c, str):
+                some = some or not c.isspace()
+            else:
                 if c.tag in DROPPED or _hidden(c) or _noise(c):
                     continue
-                prune(c)
-                if c.tag in ("font", "span") and not c.children:
+                filled = prune(c)
+                if c.tag in ("font", "span") and not filled:
                     continue
+                some = some or filled
             kept.append(c)
         n.children = kept
+        return some
 
     prune(root)
     titled, tables = False, 0
@@ -114,7 +138,7 @@ def clean(root: Node) -> Node:
             tables += 1
             if not titled and n.parent is not None:
                 mark = Node("p", {}, n.parent)
-                mark.children = [f"table {tables}"]
+                mark.children = [f"{TABLE_MARK} {tables}"]
                 n.parent.children.insert(n.parent.children.index(n), mark)
     return root
 
@@ -136,13 +160,11 @@ def link_images(root: Node, assets: dict[str, str]) -> int:
     """Points images at saved assets and numbers those that were found; returns how many."""
     known, n = {reference(k): v for k, v in assets.items()}, 0
     for img in (x for x in root.walk() if x.tag == "img"):
-        for attr in ("src", "data-image-src"):
-            r = reference(img.attrs.get(attr, ""))
-            path = known.get(r) or ("/" not in r and known.get(f"c:/{r}")) or None
-            if path:
-                n += 1
-                img.attrs.update(src=path, id=f"img_{n:04d}")
-                break
+        r = reference(img.attrs.get("src") or img.attrs.get("data-image-src") or "")
+        path = r and (known.get(r) or ("/" not in r and known.get(f"c:/{r}")))
+        if path:
+            n += 1
+            img.attrs |= {"src": path, "data-image-src": path, "data-image-id": f"img_{n:04d}"}
     return n
 
 
@@ -158,16 +180,16 @@ def to_markdown(root: Node) -> str:
                 parts.append("\n")
             elif c.tag == "img":
                 parts.append(f"![{c.attrs.get('alt', '')}]({c.attrs.get('src', '')})")
-            elif c.tag == "a" and c.attrs.get("href"):
-                parts.append(f"[{inline(c).strip()}]({c.attrs['href']})")
-            elif c.tag in ("b", "strong") and inline(c).strip():
-                parts.append(f"**{inline(c).strip()}**")
-            elif c.tag in ("i", "em") and inline(c).strip():
-                parts.append(f"*{inline(c).strip()}*")
             elif c.tag == "code":
                 parts.append(f"`{c.text()}`")
             else:
-                parts.append(inline(c))
+                inner = inline(c)
+                bare = inner.strip()
+                if c.tag == "a" and c.attrs.get("href"):
+                    parts.append(f"[{bare}]({c.attrs['href']})")
+                else:
+                    mark = _EMPHASIS.get(c.tag, "") if bare else ""
+                    parts.append(f"{mark}{bare}{mark}" if mark else inner)
         return "".join(parts)
 
     def items(n: Node, depth: int) -> Iterator[str]:
@@ -236,18 +258,16 @@ def normal_markdown(text: str) -> str:
 
 def embedded(html: str) -> str:
     """The page inside an MHTML export that was pasted as preformatted text, else ``html`` itself."""
-    for pre in (n for n in tree(html).walk() if n.tag == "pre"):
-        text = pre.text()
-        if all(m in text for m in ("MIME-Version:", "Content-Type:", "boundary=")):
-            boundary = re.search(r'boundary="?([^"\s;]+)', text).group(1)
-            parts = [p for p in text.split(f"--{boundary}") if re.search(r"(?i)content-type:\s*text/html", p)]
-            if parts:
-                head, _, body = parts[-1].partition("\n\n")
-                if "quoted-printable" in head.lower():
-                    body = quopri.decodestring(body.encode()).decode("utf-8", "ignore")
-                m = re.search(r"(?is)<html.*</html>", body)
-                return m.group() if m else body
-    return html
+    if "message-id:" not in html.lower():
+        return html
+    text = unescape("\n".join(n.text() for n in tree(html).walk() if n.tag == "pre")).replace("\r\n", "\n").replace("\r", "\n")
+    low = text.lower()
+    if not all(m in low for m in ("message-id:", "content-transfer-encoding: quoted-printable", "content-type: text/html")):
+        return html
+    part = re.search(r"(?ims)^[ \t]*content-type: text/html.*?\n[ \t]*\n(.*?)(?=^[ \t]*(?:------=_|content-type:)|\Z)", text)
+    page = quopri.decodestring(part.group(1).encode()).decode("utf-8", "ignore") if part else ""
+    found = re.search(r"(?is)<html.*</html>", page) or re.search(r"(?is)<html.*", page)
+    return (found.group() if found else page) or html
 
 
 def mhtml(content: bytes) -> tuple[str, list[tuple[str, str, bytes, str | None, str | None]]] | None:
