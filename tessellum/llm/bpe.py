@@ -15,7 +15,7 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,18 @@ from ._common import Memo, map_batches
 #: White space by Unicode's property, as the pre-token pattern understands ``\s``.
 _SPACES = "\t\x0b\x0c\r\x85\xa0                　"
 _DOUBLES = ("  ", " \n", "\n ", "\n\n")
+_MARKS = frozenset(".,;:!?")
+
+
+def _pairs(ranks: dict[bytes, int]) -> dict[int, int]:
+    """The id that two ids merge into, by both of them in one number."""
+    out = {}
+    for token, r in ranks.items():
+        for k in range(1, len(token)):
+            a, z = ranks.get(token[:k]), ranks.get(token[k:])
+            if a is not None and z is not None:
+                out[a << 20 | z] = r
+    return out
 
 
 class PerfectHash:
@@ -77,15 +89,17 @@ class PerfectHash:
 class ByteBPE:
     """Encoder and decoder for a file of ranks (base64 token, rank) and a pre-token pattern."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 100_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 250_000):
         self.ranks = ranks
         self.hash = PerfectHash(ranks)
         self.vocab = {i: t for t, i in ranks.items()}
         self.names = {i: str(i) for i in self.vocab}
+        self.bytes = [ranks[bytes([c])] for c in range(256)]
+        self.pairs = _pairs(ranks)
         self.pattern = regex.compile(pattern)
-        self.words = Memo(lambda w: self.token(w.encode()), memo // 2)
-        self.memo = Memo(self._piece, memo // 4)
-        self.spaced = Memo(lambda w: self._piece(" " + w), memo)
+        self.words = Memo(lambda w: self.token(w.encode()), memo // 5)
+        self.memo = Memo(self._piece, memo // 10)
+        self.spaced = Memo(self._spaced, memo)
 
     @classmethod
     def load(cls, path: str, pattern: str) -> ByteBPE:
@@ -98,45 +112,60 @@ class ByteBPE:
         return [whole] if whole is not None else self.merge(word)
 
     def merge(self, word: bytes) -> list[int]:
-        """Pairs wait in a heap by rank, then place; pieces are linked through the place where the next one begins.
+        """Pairs wait in a heap by rank, then place; the bytes' ids stand in a doubly linked list.
 
-        An entry is one number: rank, place and end, from the highest bits.
+        An entry of the heap is one number, rank before place. ``now`` has the rank that
+        the pair beginning at a place has at present, so that entries of pairs that have
+        been merged away are told by it.
         """
-        rank, n = self.ranks.get, len(word)
+        get, pop, push = self.pairs.get, heapq.heappop, heapq.heappush
+        ids = [self.bytes[c] for c in word]
+        n = len(ids)
         b = n.bit_length()
-        b2, low = 2 * b, (1 << b) - 1
-        after = list(range(1, n + 1))  # where the piece that begins here ends; 0: it has become part of another
-        before = list(range(-1, n - 1))
-        heap = [r << b2 | i << b | i + 2 for i in range(n - 1) if (r := rank(word[i : i + 2])) is not None]
+        low = (1 << b) - 1
+        now = [get(x << 20 | y, -1) for x, y in pairwise(ids)]
+        heap = [r << b | i for i, r in enumerate(now) if r >= 0]
+        if not heap:
+            return ids
+        now.append(-1)
         heapq.heapify(heap)
-        pop, push = heapq.heappop, heapq.heappush
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while heap:
             x = pop(heap)
-            i, end = x >> b & low, x & low
-            j = after[i]
-            if not j or j >= end or after[j] != end:
+            i, r = x & low, x >> b
+            if now[i] != r:
                 continue
-            after[i], after[j] = end, 0
+            j = after[i]
+            end = after[i] = after[j]
+            ids[i], ids[j], now[j] = r, -1, -1
             if end < n:
                 before[end] = i
-                if (r := rank(word[i : after[end]])) is not None:
-                    push(heap, r << b2 | i << b | after[end])
+                now[i] = q = get(r << 20 | ids[end], -1)
+                if q >= 0:
+                    push(heap, q << b | i)
+            else:
+                now[i] = -1
             h = before[i]
-            if h >= 0 and (r := rank(word[h:end])) is not None:
-                push(heap, r << b2 | h << b | end)
-        ids, i = [], 0
-        while i < n:
-            ids.append(self.ranks[word[i : after[i]]])
-            i = after[i]
-        return ids
+            if h >= 0:
+                now[h] = q = get(ids[h] << 20 | r, -1)
+                if q >= 0:
+                    push(heap, q << b | h)
+        return [x for x in ids if x >= 0]
 
     def _piece(self, piece: str) -> tuple[int, ...]:
-        if piece.isalpha() or piece[:1] == " " and piece[1:].isalpha():  # letters only are one pre-token
+        """Ids of a run of non-space with or without a space before it. Letters only are one pre-token."""
+        if piece.isalpha():
             return tuple(self.token(piece.encode()))
-        out: list[int] = []
-        for w in self.pattern.findall(piece):
-            out += self.words[w]
-        return tuple(out)
+        return tuple(chain.from_iterable(map(self.words.__getitem__, self.pattern.findall(piece))))
+
+    def _spaced(self, run: str) -> tuple[int, ...]:
+        """The same for a run after a space; a mark behind letters is a pre-token of its own."""
+        if run.isalpha():
+            return tuple(self.token(f" {run}".encode()))
+        stem = run[:-1]
+        if run[-1:] in _MARKS and stem.isalpha():
+            return self.spaced[stem] + self.memo[run[-1]]
+        return self._piece(f" {run}")
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text. The pattern never joins two runs of non-space, so runs are cached with their one leading space."""
