@@ -6,7 +6,7 @@ word by word: a known word adds its log frequencies; an unknown one is cut into
 n-grams of the longest order, each of which backs off to shorter ones, at a penalty
 per step, until it is known.
 
-Edge cases: a null text, or one without letters, is ``und`` with score 0; a tie goes
+Edge cases: a null text, or one without letters (combining marks alone are none), is ``und`` with score 0; a tie goes
 to the language that sorts first; repeated rows are scored alike; an empty table
 gives no rows; without any labelled text every prediction is ``und``; a null
 ``lang`` never trains; extra columns are ignored.
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from ._common import map_batches
 
 _NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
+_LETTER = regex.compile(r"\p{L}")
 ORDER = 5
 #: Taken off the log frequency for each order that an n-gram backs off.
 PENALTY = 0.7
@@ -138,7 +139,7 @@ class Scorer:
         self.new: list[tuple[int, list[int], float]] = []
 
     def _row(self, chunk: str) -> int:
-        words = [chunk] if chunk.isalpha() else _NOT_LETTERS.sub(" ", chunk).split()
+        words = [chunk] if chunk.isalpha() else [w for w in _NOT_LETTERS.sub(" ", chunk).split() if _LETTER.search(w)]
         if not words:
             return 0
         self.new += [(self.used, *self.model.parts(w)) for w in words]

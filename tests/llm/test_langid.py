@@ -24,7 +24,7 @@ def test_longer_grams_cost_less_than_shorter_ones():
 
 def test_no_letters_and_no_model():
     score = langid.Scorer(langid.fit(TEXTS)).predict
-    for text in (None, "", "  ", "123 456 !?"):
+    for text in (None, "", "  ", "123 456 !?", "\u0301\u0302", "12\u0301 \u0300"):
         assert score(text) == ("und", 0.0)
     assert langid.Scorer(langid.fit({})).predict("the cat") == ("und", 0.0)
 
