@@ -22,7 +22,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 @query
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
+    return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digests=True, warm=True)
 
 
 @query
@@ -45,7 +45,8 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _held_out(table(spark, sf_dir, "documents"), 5, 0)
-    model = toxicity.fit(*toxicity.sample(docs.where("not held_out"), table(spark, sf_dir, "labels"), bound=8000))
+    learned = docs.where("not held_out")
+    model = toxicity.fit(*toxicity.sample(learned, table(spark, sf_dir, "labels"), bound=8000), toxicity.trigrams(learned))
     return toxicity.score(docs, model, keep=["held_out"])
 
 
