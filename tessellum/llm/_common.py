@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -22,11 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder (not yet created) below the one that all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset, as
-    in local tests, a temporary folder takes its place.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a temporary
+    folder takes its place in local mode alone; elsewhere executors would not share it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = os.path.join(tempfile.gettempdir(), "tessellum-shared")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
@@ -36,7 +42,18 @@ def stored(df: DataFrame, purpose: str, **options: str) -> DataFrame:
     """``df`` written to the shared folder and read back: lineage ends at files that outlive executors."""
     path = shared_dir(df.sparkSession, purpose)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._stored_at = path
+    return back
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Deletes tables made by ``stored`` that nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "_stored_at", None)
+        if path:
+            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -61,7 +78,14 @@ def tidied(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -
 
 
 def map_batches(df: DataFrame, columns: list[str], fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` over exactly ``columns``, so that nothing else leaves the scan."""
+    """``mapInArrow`` over exactly ``columns``, so that nothing else leaves the scan.
+
+    Batches are bounded by bytes too, unless the session says otherwise: many long texts
+    are several batches, and one text of any length is one.
+    """
+    conf = df.sparkSession.conf
+    if BATCH_BYTES not in conf.getAll:
+        conf.set(BATCH_BYTES, "8m")
     return df.select(*columns).mapInArrow(tidied(fn), schema)
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stored
+from ._common import discard, stored
 
 
 def in_blocks(rows: DataFrame, key: str, block: int, share: int = 16) -> DataFrame:
@@ -170,13 +170,15 @@ def components(edges: DataFrame) -> DataFrame:
     labels: DataFrame | None = None
     while not now.isEmpty():
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        up = stored(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("p")), "parents")
+        first = stored(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("p")), "parents")
+        up = first
         for _ in range(2):
             hop = up.select(F.col("u").alias("p"), F.col("p").alias("pp"))
             up = up.join(hop, "p").select("u", F.col("pp").alias("p"))
         up = stored(up, "parents")
         a, b = (up.select(F.col("u").alias(c), F.col("p").alias(f"{c}_up")) for c in ("a", "b"))
         moved = now.join(a, "a").join(b, "b").select(F.least("a_up", "b_up").alias("a"), F.greatest("a_up", "b_up").alias("b"))
+        before, known = now, labels
         now = stored(moved.where("a <> b").distinct(), "edges")
         if labels is None:
             labels = up.select(F.col("u").alias("id"), F.col("p").alias("component"))
@@ -184,4 +186,6 @@ def components(edges: DataFrame) -> DataFrame:
             hop = up.select(F.col("u").alias("component"), F.col("p").alias("further"))
             labels = labels.join(hop, "component", "left").select("id", F.coalesce("further", "component").alias("component"))
         labels = stored(labels, "labels")
+        discard(first, up, before, known)
+    discard(now)
     return labels if labels is not None else edges.sparkSession.createDataFrame([], "id bigint, component bigint")

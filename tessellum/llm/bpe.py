@@ -192,13 +192,14 @@ def codec(path: str, pattern: str) -> ByteBPE:
     return ByteBPE.load(path, pattern)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, keep: list[str] | None = None, digests: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, keep: list[str] | None = None, digests: bool = False, warm: bool = False) -> DataFrame:
     """Ids of every text, and the bytes decoded from them.
 
     Returns ``doc_id``, the columns in ``keep``, then ``ids array<int>`` and
     ``decoded binary``; with ``digests`` ``n_tokens``, ``ids_sha256`` and
     ``decoded_sha256`` in their place, made in the same pass so that ids need not
-    leave the worker. Narrow: no shuffle.
+    leave the worker. ``warm``: workers keep their caches (about 150 MB) for their next
+    tasks. Narrow: no shuffle.
     """
     keep = keep or []
     kinds = dict(docs.dtypes)
@@ -226,8 +227,9 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str] | None = No
                     columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.binary())]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
-        for memo in (bpe.words, bpe.memo, bpe.spaced):  # the worker may serve other operators next
-            memo.forget()
+        if not warm:  # the worker may serve other operators next
+            for memo in (bpe.words, bpe.memo, bpe.spaced):
+                memo.forget()
 
     columns = list(dict.fromkeys(["doc_id", *keep, "text"]))
     return map_batches(docs, columns, run, schema)

@@ -5,10 +5,11 @@ minima are kept, 16 bits of each. The signature is split into chunks; by pigeonh
 two signatures that differ in at most ``chunks * (errors + 1) - 1`` places have a chunk
 that differs in ``errors`` places at most, so every way of leaving ``errors`` places out
 of a chunk is enumerated as a key, and all such pairs share one. (Pairs further apart
-are found too unless every chunk has more errors: at a similarity of 0.8 and the
-parameters below, 2 in 100,000 are missed.) Pairs under a key whose 4-bit slots differ
-in too many places are left out: 17 of 32, five deviations beyond a similarity of 0.8.
-The rest join clusters, whose full sets are compared exactly.
+are found too unless every chunk has more errors: at a similarity of exactly 0.8 and
+the parameters below, about 1 in 10 million is missed, and none of 100,000 such pairs
+of random sets in a test.) Pairs under a key whose 4-bit slots differ in too many
+places are left out: 17 of 32, five deviations beyond a similarity of 0.8. The rest
+join clusters, whose full sets are compared exactly.
 
 Equal sets are one class from the start. Hot keys and clusters are dealt out over
 pairs of blocks (``_similar``), and neither pairs nor links are ever all listed: each
@@ -16,7 +17,7 @@ task emits a spanning forest.
 
 Edge cases: a null, empty or blank text has an empty set and is linked with nothing;
 a text of fewer words than a shingle is one shingle; rows that share a ``doc_id`` are
-one node of the graph; a row without ``doc_id`` is linked with nothing and gets null
+one document, through which their classes are linked; a row without ``doc_id`` is linked with nothing and gets null
 ``component_id`` and ``kept``; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -31,11 +32,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_batches, release, stored, tidied
+from ._common import discard, map_batches, release, stored, tidied
 from ._similar import blocks_of, components, each_group, edges_of, forest, grouped, in_blocks, linked_pairs
 from ._words import joined, mix
 
-CHUNKS, SLOTS, ERRORS = 8, 5, 1
+CHUNKS, SLOTS, ERRORS = 12, 5, 1
 FILTER_SLOTS, FILTER_ERRORS = 32, 17
 BLOCK = 256
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -146,8 +147,10 @@ def candidates(reps: DataFrame) -> DataFrame:
             blk, bi, bj = blocks_of(table)
             for a, m in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
                 z = a + m
-                d = slot_errors(s1[a:z, None], s1[None, a:z]) + slot_errors(s2[a:z, None], s2[None, a:z])
-                ok = d <= FILTER_ERRORS
+                ok = np.empty((m, m), bool)
+                for x in range(a, z, 128):  # a few rows at a time: what is compared takes many times the memory of the answer
+                    y = min(z, x + 128)
+                    ok[x - a : y - a] = slot_errors(s1[x:y, None], s1[None, a:z]) + slot_errors(s2[x:y, None], s2[None, a:z]) <= FILTER_ERRORS
                 if bi[a] != bj[a]:
                     ok &= blk[a:z, None] != blk[None, a:z]
                 out += edges_of(np.triu(ok, 1) if bi[a] == bj[a] else ok, ids[a:z])
@@ -194,6 +197,16 @@ def shingle_sets(docs: DataFrame, clusters: DataFrame, width: int) -> DataFrame:
     return stored(chosen.select("component", "id", "text").mapInArrow(tidied(run), "cluster bigint, id bigint, tokens array<bigint>"), "shingle-sets")
 
 
+def shared_ids(live: DataFrame, reps: DataFrame) -> DataFrame | None:
+    """Edges ``a, b`` between the classes of rows that share a ``doc_id``; None where none do."""
+    repeated = stored(live.groupBy("doc_id").agg(F.min("set_hash").alias("x"), F.max("set_hash").alias("y")).where("x <> y").select("doc_id"), "shared-ids")
+    if repeated.isEmpty():
+        return None
+    of_class = live.join(repeated, "doc_id", "left_semi").select("doc_id", "set_hash").distinct().join(reps.select("set_hash", "id").hint("merge"), "set_hash").select("doc_id", F.col("id").alias("b"))
+    first = of_class.groupBy("doc_id").agg(F.min("b").alias("a"))
+    return of_class.join(first, "doc_id").where("a <> b").select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row: components under ``den * intersection >= num * union``."""
     rows = classes(docs, width)
@@ -201,7 +214,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     reps = stored(live.groupBy("set_hash").agg(F.min(F.struct("doc_id", "sig")).alias("r")).select("set_hash", F.col("r.doc_id").alias("id"), F.col("r.sig").alias("sig")), "classes")
     clusters = components(candidates(reps))
     release(docs.sparkSession)
-    links = components(exact_links(shingle_sets(docs, clusters, width), num, den))
+    sets = shingle_sets(docs, clusters, width)
+    found, same = exact_links(sets, num, den), shared_ids(live, reps)
+    links = components(found if same is None else found.unionByName(same))
+    discard(clusters, sets)
     release(docs.sparkSession)
     named = reps.select("set_hash", "id").join(links, "id", "left").select("set_hash", F.coalesce("component", "id").alias("component"))
     # Rows without a class get a key of their own, so that they don't meet in one task.

@@ -85,3 +85,26 @@ def test_overlaps():
     sets = [np.unique(rng.integers(0, 60, rng.integers(0, 50))) for _ in range(30)]
     got = _similar.overlaps(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))
     assert [[len(set(a) & set(b)) for b in sets] for a in sets] == got.tolist()
+
+
+def test_pairs_at_the_threshold_are_not_lost():
+    """Pairs of sets with a similarity of exactly 0.8 share a key and pass the filter of slots."""
+    rng, by, lost, total = np.random.default_rng(6), near_dup._multipliers(), 0, 100_000
+    for _ in range(total // 2000):
+        x = rng.integers(0, 2**64, (2000, 100), dtype=np.uint64)  # 80 in common, 10 of each alone
+        sigs = []
+        for part in (np.r_[0:80, 80:90], np.r_[0:80, 90:100]):
+            least = np.stack([(x[:, part] * m).min(axis=1) for m in by], axis=1)
+            sigs.append((near_dup.mix(least) >> np.uint64(48)).astype(np.uint16))
+        shared = (near_dup.probe_keys(sigs[0]) == near_dup.probe_keys(sigs[1])).any(axis=1)
+        f, g = (near_dup.pack_filter(s).view(np.uint64) for s in sigs)
+        near = near_dup.slot_errors(f[:, 0], g[:, 0]) + near_dup.slot_errors(f[:, 1], g[:, 1]) <= near_dup.FILTER_ERRORS
+        lost += int((~(shared & near)).sum())
+    assert lost == 0
+
+
+def test_rows_that_share_an_id_are_one_document(spark):
+    a, c, d = "one two three four five six", "a text of its own that nothing resembles", "still another text which stands alone"
+    docs = [(5, a), (9, a), (9, c), (12, c), (20, d), (20, c), (30, "quite alone here with some words")]
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string"), width=2).collect()}
+    assert got == {(5, 5, True), (9, 5, False), (12, 5, False), (20, 5, False), (30, 30, True)}
