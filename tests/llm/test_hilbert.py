@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessellum.llm import hilbert
@@ -63,6 +64,41 @@ def test_recall_with_a_hot_vector_and_small_blocks(spark):
     assert hits >= 0.9 * 20 * len(want)
 
 
+def test_a_query_meets_as_many_rows_at_any_size():
+    block = 64
+    for n in (1000, 20_000):
+        rng = np.random.default_rng(n)
+        codes, asked = rng.normal(size=(n, 8)).astype(np.float32), np.arange(n) % 20 == 0
+        q, c, s = hilbert.windows(codes, asked, np.arange(n), block, 10**9, 0, -(-n // block))
+        met = np.bincount(q, minlength=n)[asked]
+        assert met.max() == 3 * block and set(q.tolist()) == set(np.flatnonzero(asked).tolist())
+        assert np.allclose(s, (codes[q] * codes[c]).sum(axis=1), atol=1e-4)
+
+
+def test_many_ranges_and_runs_of_windows(spark):
+    """Ranges far smaller than the table, each in several runs: every query still gets its neighbours."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 8)).repeat(15, axis=0) + 0.02 * rng.normal(size=(3000, 8))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    want, got = brute(np.arange(3000), x, 10), {}
+    for r in hilbert.search(rows, k=10, curves=8, dims=4, bits=4, block=16, range_rows=1000).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert sum(len(got[q] & {i for _, i in want[q]}) for q in want) >= 0.9 * 10 * len(want)
+
+
+def test_recall_at_fifty_thousand(spark):
+    """Directions that are nearly noise, the hardest case: the nearest of 51,000 are little nearer than the rest."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(51_000, 64)) + rng.normal(size=(10, 64))[rng.integers(0, 10, 51_000)] * 0.3
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    rows = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), 64).cast(pa.list_(pa.float32()))})).repartition(8)
+    got = {}
+    for r in hilbert.search(rows, every=500).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    near = {q: set(np.argsort(-np.where(np.arange(len(x)) == q, -9, x @ x[q]))[:20].tolist()) for q in range(0, len(x), 500)}
+    assert set(got) == set(near) and sum(len(got[q] & near[q]) for q in near) >= 0.9 * 20 * len(near)
+
+
 def test_edge_cases(spark):
     nan, inf = float("nan"), float("inf")
     data = [
