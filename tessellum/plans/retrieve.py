@@ -1,4 +1,9 @@
-"""Many questions at once: recall, fusion, expansion, reranking, context and answers, as one lazy plan keyed by ``query_id``."""
+"""Many questions at once: recall, fusion, expansion, reranking, context and answers, keyed by ``query_id``.
+
+Hits, seeds, accepted dependencies, candidates and the context are read several times
+each, so they are written once and read back; a plan that held them all would repeat
+recall at every use and double with every step.
+"""
 
 from __future__ import annotations
 
@@ -14,6 +19,7 @@ from ..functions.tokens import tokens
 from ..operators import answer, bm25, dependency, neighbours, ranking, vector
 from ..providers import Embedder, TextModel, ask, embed
 from ..sources import publish
+from ..storage import discard, stored
 
 
 @dataclass
@@ -74,31 +80,35 @@ class QueryService:
         routes = self._routes(queries.withColumn("ask_id", F.col("query_id")), (0, 0, 0), False)
         if self.rewriter is not None:
             raw = ask(queries, self.rewriter, "query_id", "query_text").select(F.col("query_id").cast("bigint").alias("query_id"), "raw")
-            other = raw.select("query_id", F.posexplode(rewrites(F.col("raw"), c.rewrite_limit)).alias("n", "query_text"))
+            other = stored(raw.select("query_id", F.posexplode(rewrites(F.col("raw"), c.rewrite_limit)).alias("n", "query_text")), "rewrites")
             for n in range(c.rewrite_limit):
                 routes += self._routes(other.where(F.col("n") == n).withColumn("ask_id", F.col("query_id")), (c.rewrite_content_top_k, c.rewrite_summary_top_k, c.rewrite_bm25_top_k), True)
         else:
             other = spark.createDataFrame([], "query_id bigint, n int, query_text string")
-        hits = ranking.union_hits(routes)
-        found = ranking.with_metadata(ranking.aggregate_hits(hits), self.index.chunks).withColumns({"is_neighbor": F.lit(False), "center_node_id": F.lit(None).cast("string")})
+        hits = stored(ranking.union_hits(routes), "hits")
+        chunks = self.index.chunks
+        found = ranking.with_metadata(ranking.aggregate_hits(hits), chunks).withColumns({"is_neighbor": F.lit(False), "center_node_id": F.lit(None).cast("string")})
         coarse = ranking.placed(ranking.score_candidates(found))
-        wanted = self._wanted(queries)
-        seeds = dependency.seeds(coarse.join(wanted, "query_id", "left_semi"), c.capability_weight, c.seed_score_ratio, c.max_seeds)
-        accepted, _ = dependency.expand(seeds, self.index.edges, self.index.chunks, c.min_confidence, c.edges_per_seed, c.dependency_total)
+        wanted = stored(self._wanted(queries), "wanted")
+        seeds = stored(dependency.seeds(coarse.join(wanted, "query_id", "left_semi"), c.capability_weight, c.seed_score_ratio, c.max_seeds), "seeds")
+        accepted = stored(dependency.expand(seeds, self.index.edges, chunks, c.min_confidence, c.edges_per_seed, c.dependency_total)[0], "accepted")
         extra = accepted.groupBy("query_id", F.col("target_id").alias("node_id"), "seed_rank").agg(F.max("confidence").alias("raw_score")).select(
             "query_id", (F.lit(900_000_000_000) + F.col("seed_rank")).alias("hit_seq"), "node_id", F.lit("dependency_graph").alias("route"), F.col("seed_rank").alias("rank"), "raw_score", F.lit(False).alias("is_rewritten"))
-        wider = hits.unionByName(extra)
-        base = ranking.placed(ranking.score_candidates(ranking.with_metadata(ranking.aggregate_hits(wider), self.index.chunks).withColumn("is_neighbor", F.lit(False))))
-        near = neighbours.expand(base, self.index.chunks, c.neighbour_radius, c.neighbour_centres)
+        wider = stored(hits.unionByName(extra), "wider-hits")
+        base = ranking.placed(ranking.score_candidates(ranking.with_metadata(ranking.aggregate_hits(wider), chunks).withColumn("is_neighbor", F.lit(False))))
+        near = stored(neighbours.expand(base, chunks, c.neighbour_radius, c.neighbour_centres), "neighbours")
         beside = near.select("query_id", (F.lit(990_000_000_000) + F.col("rank")).alias("hit_seq"), "node_id", F.lit("neighbor_expand").alias("route"), "rank", F.lit(0.0).alias("raw_score"), F.lit(False).alias("is_rewritten"))
         marks = near.select("query_id", "node_id", "center_node_id")
-        every = ranking.with_metadata(ranking.aggregate_hits(wider.unionByName(beside)), self.index.chunks).join(marks, ["query_id", "node_id"], "left").withColumn("is_neighbor", F.col("center_node_id").isNotNull())
-        final = ranking.placed(ranking.score_candidates(every))
+        every = ranking.with_metadata(ranking.aggregate_hits(wider.unionByName(beside)), chunks).join(marks, ["query_id", "node_id"], "left").withColumn("is_neighbor", F.col("center_node_id").isNotNull())
+        final = stored(ranking.placed(ranking.score_candidates(every)), "candidates")
+        spent = [hits, wider, near]
         if self.reranker is not None:
-            final = ranking.model_rerank(final, self._scores(queries, final), c.llm_top_n)
+            spent.append(final)
+            final = stored(ranking.model_rerank(final, self._scores(queries, final), c.llm_top_n), "reranked")
         picked = dependency.assemble(final, seeds, accepted, c.final_top_n, c.max_forced)
         plain = ranking.top(final.join(wanted, "query_id", "left_anti"), c.final_top_n).select("query_id", "node_id", F.lit(2).alias("part"), F.col("pos").alias("context_pos"))
-        context = picked.join(wanted, "query_id", "left_semi").unionByName(plain).join(self.index.chunks, "node_id")
+        context = stored(picked.join(wanted, "query_id", "left_semi").unionByName(plain).join(chunks, "node_id"), "context")
+        discard(*spent, seeds, accepted, wanted)
         return Response(other, final, context, self._answers(queries, context))
 
     def _wanted(self, queries: DataFrame) -> DataFrame:

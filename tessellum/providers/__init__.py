@@ -65,12 +65,12 @@ class RuleAnnotator:
 
 
 class EmptyGraph:
-    """No dependencies, but every chunk covered. A prompt is JSON with a list of ``nodes``."""
+    """No dependencies, but every chunk covered. A prompt is JSON with a list of ``nodes``, each with its ``node_id``."""
 
     version = "none-1"
 
     def __call__(self, prompts: list[str]) -> list[str]:
-        return [json.dumps({"node_dependencies": {n: [] for n in json.loads(p)["nodes"]}}) for p in prompts]
+        return [json.dumps({"node_dependencies": {n["node_id"]: [] for n in json.loads(p)["nodes"]}}) for p in prompts]
 
 
 def retrying(model: Callable[[list], list], tries: int = 3, pause: Callable[[float], None] = time.sleep) -> Callable[[list], list]:
@@ -129,14 +129,17 @@ def ask(rows: DataFrame, model: TextModel, key: str, prompt: str, batch: int = 1
     return rows.select(F.col(key).cast("string").alias("k"), F.col(prompt).alias("p")).mapInArrow(run, "k string, raw string").withColumnRenamed("k", key)
 
 
-def annotate(chunks: DataFrame, model: TextModel, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Chunks with annotation columns, and the new cache rows (``text_hash, version, raw``). Cached texts aren't asked again."""
+def annotate(chunks: DataFrame, model: TextModel, cache: DataFrame | None = None, keep: Callable[[str, DataFrame], DataFrame] = lambda name, df: df) -> tuple[DataFrame, DataFrame]:
+    """Chunks with annotation columns, and the new cache rows (``text_hash, version, raw``). Cached texts aren't asked again.
+
+    Both results need the model's answers: ``keep`` may write them, so that they are asked for once.
+    """
     keyed = chunks.withColumn("text_hash", F.sha2("text", 256))
     pending = keyed.select("text_hash", "text").dropDuplicates(["text_hash"])
     known = cache.where(F.col("version") == model.version).where("raw is not null").select("text_hash", "raw") if cache is not None else None
     if known is not None:
         pending = pending.join(known, "text_hash", "left_anti")
-    fresh = ask(pending, model, "text_hash", "text")
+    fresh = keep("answers", ask(pending, model, "text_hash", "text"))
     both = fresh.unionByName(known) if known is not None else fresh
     noted = keyed.join(both, "text_hash", "left").withColumn("a", annotation(F.col("raw")))
     return noted.select(*chunks.columns, "a.*"), fresh.withColumn("version", F.lit(model.version))

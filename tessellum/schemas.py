@@ -17,4 +17,5 @@ POSTINGS = "token string, node_id string"
 DOC_STATS = "node_id string, dl int, corpus_pos bigint"
 HITS = "query_id bigint, hit_seq bigint, node_id string, route string, rank int, raw_score double, is_rewritten boolean"
 ANNOTATION = "struct<summary:string,keywords:array<string>,tags:array<string>,type:string,has_code:boolean,coherence:string,dependency_topics:array<string>>"
+ANNOTATION_CACHE = "text_hash string, version string, raw string"
 DOC_STATE = "doc_key string, content_hash string, node_ids array<string>, node_count int"

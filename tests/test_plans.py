@@ -1,7 +1,3 @@
-import os
-
-import pytest
-
 from tessellum import streaming
 from tessellum.config import IndexConfig
 from tessellum.plans import build as builder
@@ -14,7 +10,6 @@ def write(folder, name, text):
     (folder / name).write_text(text, encoding="utf-8")
 
 
-@pytest.mark.skipif(not os.environ.get("RUN_SLOW"), reason="not yet seen to end: no result within 110 s and 200 s; set RUN_SLOW to run it")
 def test_build_update_and_query(spark, tmp_path):
     docs, root, embedder = tmp_path / "docs", str(tmp_path / "index"), HashEmbedder()
     docs.mkdir()
