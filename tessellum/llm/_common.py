@@ -6,14 +6,14 @@ import contextlib
 import ctypes
 import gc
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import discard, shared_dir, stored  # noqa: F401  (the operators take them from here)
+
 
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -22,40 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder (not yet created) below the one that all executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a temporary
-    folder takes its place in local mode alone; elsewhere executors would not share it.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = os.path.join(tempfile.gettempdir(), "tessellum-shared")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, purpose: str, **options: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: lineage ends at files that outlive executors."""
-    path = shared_dir(df.sparkSession, purpose)
-    df.write.options(**options).parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
-    back._stored_at = path
-    return back
-
-
-def discard(*frames: DataFrame | None) -> None:
-    """Deletes tables made by ``stored`` that nothing reads any more."""
-    for df in frames:
-        path = getattr(df, "_stored_at", None)
-        if path:
-            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def release(spark: SparkSession) -> None:
     """Shuffle files of finished steps go once the driver has collected their plans; long jobs need not wait for that to happen."""
     gc.collect()

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontam, hilbert, html_text, langid, line_dedup, near_dup, rollup, toxicity, wavelet
-from ._common import crc_mod, shared_dir, table
+from ._common import crc_mod, shared_dir, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,34 +55,29 @@ def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
 
 
+#: Tokenizers whose tokens are rolled up, by the version that the totals carry.
+ROLLED_UP = {"word_bpe_49k-1": "word_bpe_49k.json"}
+
+
 @query
 def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents arrive with provisional counts and no language, are recounted, and those without text are deleted; one batch is sent twice."""
+    """All documents arrive with estimated counts and no language, are recounted by the tokenizer, and those whose text a smaller ``doc_id`` has too are deleted; one batch is sent twice."""
     docs, root = table(spark, sf_dir, "documents"), shared_dir(spark, "token-rollup")
-    guess = {v: (lambda text: F.ceil(F.char_length(text) / 5)) for v in rollup.COUNTERS}
-    load = rollup.inserted(rollup.count(docs, guess).withColumn("lang", F.lit(None).cast("string")))
-    rollup.commit(spark, root, "0-load", load)
-    old = docs.withColumn("old_n_tokens", F.ceil(F.char_length("text") / 5)).select("doc_id", "source", "lang", "text", "old_n_tokens")
-    of = F.array(*(F.struct(F.lit(v).alias("tokenizer_version"), F.coalesce(f(F.col("text")), F.lit(0)).cast("bigint").alias("n_tokens")) for v, f in rollup.COUNTERS.items()))
-    pairs = old.select("source", "lang", F.col("source").alias("old_source"), F.lit(None).cast("string").alias("old_lang"), "old_n_tokens", F.inline(of)).withColumn("old_tokenizer_version", F.col("tokenizer_version"))
-    rollup.commit(spark, root, "1-recount", rollup.revised(pairs))
-    rollup.commit(spark, root, "0-load", load)
-    empty = docs.where(F.coalesce(F.char_length("text"), F.lit(0)) == 0)
-    rollup.commit(spark, root, "2-purge", rollup.deleted(rollup.count(empty)))
+    guess = F.ceil(F.coalesce(F.char_length("text"), F.lit(0)) / 5).cast("bigint")
+    arrived = docs.select("source", F.lit(None).cast("string").alias("lang"), F.explode(F.array(*map(F.lit, ROLLED_UP))).alias("tokenizer_version"), guess.alias("n_tokens"))
+    rollup.commit(spark, root, "0-load", rollup.inserted(arrived))
+    counts = stored(rollup.count(docs, {v: public_tokenizers.path(f) for v, f in ROLLED_UP.items()}), "token-counts")
+    was = docs.select("source", F.explode(F.array(*map(F.lit, ROLLED_UP))).alias("tokenizer_version"), guess.alias("n_tokens"))
+    rollup.commit(spark, root, "1-recount", rollup.deleted(was.withColumn("lang", F.lit(None).cast("string"))).unionByName(rollup.inserted(counts)))
+    rollup.commit(spark, root, "0-load", rollup.inserted(arrived))
+    # The smallest id of each text is told by partial sums; nothing but ids and digests is shuffled.
+    digests = docs.where("doc_id is not null").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    first = digests.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    again = counts.where("doc_id is not null").join(first, "doc_id", "left_anti")
+    rollup.commit(spark, root, "2-purge", rollup.deleted(again))
     return rollup.totals(spark, root)
 
 
-ORACLES["op5_token_rollup"] = r"""
-    SELECT source, lang, tokenizer_version, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens
-    FROM (SELECT source, lang, unnest([
-            {'tokenizer_version': 'words-1', 'n': len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))},
-            {'tokenizer_version': 'chars-1', 'n': length(text)},
-            {'tokenizer_version': 'bytes-1', 'n': strlen(text)}], recursive := true)
-          FROM documents WHERE text <> '')
-    GROUP BY ALL
-"""
-
-
 @query
 def op3_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.search(table(spark, sf_dir, "embeddings"))

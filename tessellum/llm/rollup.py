@@ -2,10 +2,11 @@
 
 A batch of changes (inserts, deletes, revisions) becomes signed rows, summed by
 source, language and tokenizer version, and is committed as one folder named by its
-id. Spark's committer marks a finished folder; a batch whose mark exists is never
-applied again, and one that broke off is overwritten, so that a batch may be sent
-any number of times. Totals are sums over the committed batches; ``compact`` replaces
-many of them by one without losing their ids.
+id, moved into place by a rename when it is complete; a batch whose folder exists is
+never applied again, and one that broke off leaves none, so that a batch may be sent
+any number of times, by several drivers too. Totals are sums over the committed batches; ``compact`` replaces
+many of them by one without losing their ids. Committing and compacting at once is the
+caller's to prevent.
 
 Edge cases: a null source, language or version is a group of its own; a null count is
 0; a deletion takes one document and its tokens off the group that it names; groups
@@ -16,10 +17,16 @@ committed and changes nothing; repeated rows in a batch count as often as they o
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._common import map_batches
+from .wavelet import encoder
+
 KEYS = ["source", "lang", "tokenizer_version"]
 SCHEMA = "source string, lang string, tokenizer_version string, n_docs bigint, n_tokens bigint"
 
@@ -54,14 +61,23 @@ def revised(rows: DataFrame) -> DataFrame:
 def commit(spark: SparkSession, root: str, batch_id: str, signed: DataFrame) -> bool:
     """Applies a batch once. Returns False if it had been applied before.
 
-    The sum is partial before the shuffle, so that a hot source sends one row per task.
+    The sums are written beside the batches and moved into place by one rename, which
+    fails if another driver was faster with the same id: then its sums stand. Sums are
+    partial before the shuffle, so that a hot source sends one row per task.
     """
-    folder = f"{root}/batches/{batch_id}"
-    if _exists(spark, f"{folder}/_SUCCESS") or batch_id in _compacted(spark, root):
+    folder, draft = f"{root}/batches/{batch_id}", f"{root}/drafts/{uuid.uuid4().hex}"
+    fs, target = _path(spark, folder)
+    if fs.exists(target) or batch_id in _compacted(spark, root):
         return False
     sums = signed.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-    sums.where("n_docs <> 0 or n_tokens <> 0").write.mode("overwrite").parquet(folder)
-    return True
+    sums.where("n_docs <> 0 or n_tokens <> 0").write.parquet(f"{draft}/{batch_id}")
+    fs.mkdirs(target.getParent())
+    _, source = _path(spark, f"{draft}/{batch_id}")
+    moved = not fs.exists(target) and fs.rename(source, target) and not fs.exists(_path(spark, f"{folder}/{batch_id}")[1])
+    if not moved:  # a rename onto a folder that appeared meanwhile may have put ours inside it
+        fs.delete(_path(spark, f"{folder}/{batch_id}")[1], True)
+    fs.delete(source.getParent(), True)
+    return moved
 
 
 def _compacted(spark: SparkSession, root: str) -> set[str]:
@@ -99,20 +115,28 @@ def compact(spark: SparkSession, root: str) -> None:
     folders = _live(spark, root)
     ids = sorted({f.rsplit("/", 1)[1] for f in folders if "/batches/" in f} | _compacted(spark, root))
     fs, p = _path(spark, f"{root}/bases")
-    base = f"{root}/bases/{len(fs.listStatus(p)) if fs.exists(p) else 0:08d}"
+    numbers = [int(s.getPath().getName().split("-")[0]) for s in fs.listStatus(p)] if fs.exists(p) else []
+    base = f"{root}/bases/{max(numbers, default=-1) + 1:08d}-{uuid.uuid4().hex}"
     totals(spark, root).write.mode("overwrite").parquet(f"{base}/sums")
     spark.createDataFrame([(json.dumps(ids),)], "ids string").coalesce(1).write.mode("overwrite").text(f"{base}/ids")
 
 
-#: Tokenizer versions counted without leaving the JVM: runs of non-space, characters, bytes.
-COUNTERS = {
-    "words-1": lambda text: F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")),
-    "chars-1": F.char_length,
-    "bytes-1": F.octet_length,
-}
+def count(docs: DataFrame, tokenizers: dict[str, str]) -> DataFrame:
+    """``doc_id, source, lang, tokenizer_version, n_tokens`` of every document under each tokenizer.
 
+    ``tokenizers``: version to the tokenizer's file; a null text has no tokens. One pass
+    over the texts encodes for all of them.
+    """
 
-def count(docs: DataFrame, counters: dict = COUNTERS) -> DataFrame:
-    """A row per document and tokenizer version, made in one scan."""
-    of = F.array(*(F.struct(F.lit(v).alias("tokenizer_version"), F.coalesce(f(F.col("text")), F.lit(0)).cast("bigint").alias("n_tokens")) for v, f in counters.items()))
-    return docs.select("doc_id", "source", "lang", F.inline(of))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoders = {version: encoder(path) for version, path in tokenizers.items()}
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                texts = b.column("text").to_pylist()
+                for version, enc in encoders.items():
+                    n = [len(packed) // enc.kind.itemsize for packed in enc.encode(texts)]
+                    yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "source", "lang")), pa.array([version] * len(n)), pa.array(n, pa.int64())], names=["doc_id", "source", "lang", "tokenizer_version", "n_tokens"])
+
+    columns = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), "text")
+    return map_batches(columns, ["doc_id", "source", "lang", "text"], run, "doc_id bigint, source string, lang string, tokenizer_version string, n_tokens bigint")

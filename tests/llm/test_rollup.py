@@ -1,8 +1,13 @@
+from collections import Counter, defaultdict
+from concurrent.futures import ThreadPoolExecutor
+
+import public_tokenizers as P
 import pytest
-from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tessellum.llm import rollup
 from tessellum.llm._common import shared_dir
+from tessellum.llm.queries import QUERIES
 
 ROWS = "source string, lang string, tokenizer_version string, n_tokens bigint"
 
@@ -39,14 +44,19 @@ def test_signed_changes_and_repeated_batches(spark, root):
 
 def test_batch_that_broke_off_is_applied_once(spark, root):
     load = spark.createDataFrame([("a", "en", "v1", 10)], ROWS)
-    rollup.inserted(load).write.parquet(f"{root}/batches/1")
-    fs, path = rollup._path(spark, f"{root}/batches/1/_SUCCESS")
-    fs.delete(path, False)
+    rollup.inserted(load).write.parquet(f"{root}/drafts/x/1")
     assert state(spark, root) == {}
     assert rollup.commit(spark, root, "1", rollup.inserted(load))
     assert state(spark, root) == {("a", "en", "v1"): (1, 10)}
 
 
+def test_two_drivers_send_one_batch(spark, root):
+    load = spark.createDataFrame([("a", "en", "v1", 10)], ROWS)
+    with ThreadPoolExecutor(4) as pool:
+        done = list(pool.map(lambda _: rollup.commit(spark, root, "1", rollup.inserted(load)), range(4)))
+    assert sum(done) == 1 and state(spark, root) == {("a", "en", "v1"): (1, 10)}
+
+
 def test_empty(spark, root):
     assert state(spark, root) == {}
     assert rollup.commit(spark, root, "1", rollup.inserted(spark.createDataFrame([], ROWS)))
@@ -54,13 +64,29 @@ def test_empty(spark, root):
     assert not rollup.commit(spark, root, "1", rollup.inserted(spark.createDataFrame([], ROWS)))
 
 
-def test_counts_of_messy_texts(spark, messy, root):
-    rollup.commit(spark, root, "1", rollup.inserted(rollup.count(messy)))
-    docs = messy.select("source", "lang", "text").collect()
-    got = state(spark, root)
-    for (source, lang, version), (n, tokens) in got.items():
-        own = [r["text"] or "" for r in docs if (r["source"], r["lang"]) == (source, lang)]
-        size = {"chars-1": len, "bytes-1": lambda t: len(t.encode()), "words-1": lambda t: len(t.encode().split())}[version]
-        assert (n, tokens) == (len(own), sum(map(size, own)))
-    assert len(got) == 3 * len({(r["source"], r["lang"]) for r in docs})
-    assert rollup.count(messy.limit(0)).where(F.lit(True)).collect() == []
+def library():
+    return Tokenizer.from_file(P.path("word_bpe_49k.json"))
+
+
+def test_counts_of_messy_texts(spark, messy):
+    files = {"v1": P.path("word_bpe_49k.json"), "v2": P.path("word_bpe_49k.json")}
+    lib, got = library(), rollup.count(messy, files).collect()
+    want = Counter((r["doc_id"], r["source"], r["lang"], v, len(lib.encode(r["text"] or "", add_special_tokens=False).ids)) for r in messy.collect() for v in files)
+    assert Counter(tuple(r) for r in got) == want
+    assert rollup.count(messy.limit(0), files).collect() == []
+
+
+def test_query_equals_counts_by_the_library(spark, sf_dir, documents):
+    lib, want, seen = library(), defaultdict(lambda: [0, 0]), set()
+    gone = 0
+    for r in documents.orderBy("doc_id").collect():
+        n = len(lib.encode(r["text"] or "", add_special_tokens=False).ids)
+        if (r["text"] or "") in seen:
+            gone += n
+            continue
+        seen.add(r["text"] or "")
+        of = want[(r["source"], r["lang"], "word_bpe_49k-1")]
+        of[0] += 1
+        of[1] += n
+    got = {(r["source"], r["lang"], r["tokenizer_version"]): [r["n_docs"], r["n_tokens"]] for r in QUERIES["op5_token_rollup"](spark, sf_dir).collect()}
+    assert got == dict(want) and gone > 0
