@@ -9,7 +9,8 @@ removed if a line before it (by ``doc_id``, then place) has an equal or similar
 
 Edge cases: lines without words are kept and match nothing; a null text has no lines
 and stays null; a text whose every line with words goes becomes empty; rows that
-share a ``doc_id`` are ordered by their texts; rows without one are left alone; an
+share a ``doc_id`` are ordered by their texts, and of those that repeat its text too one
+keeps its lines and the others lose all that have words; rows without an id are left alone; an
 empty table gives no rows; extra columns are kept as they
 are, but for any named as those that this adds.
 """
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +27,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_batches, release, stored, tidied
+from ._common import discard, map_batches, release, stored, tidied
 from ._similar import blocks_of, components, each_group, edges_of, forest, grouped, in_blocks, linked_pairs
 from ._words import word_hashes
 
 #: Counters of the word sketch, a power of two: what the driver gets and broadcasts whatever the input.
 COUNTERS = 1 << 18
+PARTS = 64
+#: Slots in which hot keys are marked, a power of two.
+SLOTS = 1 << 20
+#: Sets whose first lines a task remembers.
+REMEMBERED = 200_000
 BLOCK = 512
 NUM, DEN = 80, 100
+_BLANK = " \t\n\x0b\x0c\r"
 
 
 def word_levels(docs: DataFrame) -> np.ndarray:
@@ -48,13 +56,27 @@ def word_levels(docs: DataFrame) -> np.ndarray:
             for at in range(0, whole.num_rows, 256):
                 raw = "\n".join(t or "" for t in whole.column("text").slice(at, 256).to_pylist()).encode().lower()
                 counts += np.bincount((word_hashes(raw)[0] % COUNTERS).astype(np.int64), minlength=COUNTERS)
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_pydict({"counter": some, "n": counts[some]})
+        yield from rows(counts)
 
-    sums = map_batches(docs, ["text"], run, "counter bigint, n bigint").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()  # COUNTERS rows at most
-    levels = np.zeros(COUNTERS, np.uint8)
-    levels[sums["counter"].to_numpy(np.int64)] = np.minimum(255, np.round(8 * np.log2(sums["n"].to_numpy(np.float64))))
-    return levels
+    def rows(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        cut = counts.reshape(PARTS, -1)
+        some = np.flatnonzero(cut.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([cut[i].astype("<i8").tobytes() for i in some], pa.binary())], names=["part", "counts"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((PARTS, COUNTERS // PARTS), np.int64)
+        for b in batches:
+            for part, raw in zip(b.column("part").to_pylist(), b.column("counts"), strict=True):
+                sums[part] += np.frombuffer(raw.as_py(), "<i8")
+        yield from rows(sums)
+
+    # A task sends PARTS rows, whatever it has read; each part of the sketch is summed by one task.
+    sums = map_batches(docs, ["text"], run, "part int, counts binary").repartition("part").mapInArrow(tidied(total), "part int, counts binary").toLocalIterator()
+    counts = np.zeros((PARTS, COUNTERS // PARTS), np.int64)
+    for r in sums:  # PARTS rows
+        counts[r["part"]] += np.frombuffer(r["counts"], "<i8")
+    flat = counts.ravel()
+    return np.where(flat > 0, np.minimum(255, np.round(8 * np.log2(np.maximum(1, flat)))), 0).astype(np.uint8)
 
 
 def tokens(raw: bytes, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +103,8 @@ def _by_line(values: np.ndarray, line: np.ndarray) -> np.ndarray:
 
 
 def prefix_size(n: np.ndarray) -> np.ndarray:
-    return n - -(-n * NUM // DEN) + 1
+    """Tokens of which two similar sets share one. Sets of fewer than four have none: only an equal set is similar."""
+    return np.where(n > 3, n - -(-n * NUM // DEN) + 1, 0)
 
 
 def least_overlap(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -102,11 +125,16 @@ def bitmaps(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def numbered_lines(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """A stored row for each line with words: its document and place, hash of its set, and what its posts need."""
+    """A stored row for each line with words: its document and place, hash of its set, and what its posts need.
+
+    ``lead``: no line of the set that the task has seen, of those it still remembers,
+    stands before it; others need not be sent to find the first of all.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(levels)  # COUNTERS bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = shared.value
+        least: dict[bytes, tuple[int, int, int]] = {}
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
@@ -128,57 +156,152 @@ def numbered_lines(docs: DataFrame, levels: np.ndarray) -> DataFrame:
                 view = memoryview(flat.tobytes())
                 hashes = [xxhash.xxh3_128_digest(view[8 * a : 8 * z]) for a, z in zip(offsets[some].tolist(), offsets[some + 1].tolist(), strict=True)]
                 p = prefix_size(n)[some]
-                starts = np.concatenate([[0], np.cumsum(p)]).astype(np.int32)
+                starts = np.concatenate([[0], np.cumsum(p)])
                 which = np.repeat(offsets[some], p) + np.arange(p.sum()) - np.repeat(starts[:-1], p)
-                short = ((flat[which] * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                pick = lambda xs: pa.array(np.array(xs, np.int64)[some])  # noqa: E731, B023
+                short = memoryview(((flat[which] * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).astype("<u4").tobytes())
+                prefixes = [bytes(short[4 * a : 4 * z]) for a, z in pairwise(starts.tolist())]
+                columns = [np.array(x, np.int64)[some] for x in (ids, ties, places)]
+                lead = []
+                for h, order in zip(hashes, zip(*(c.tolist() for c in columns), strict=True), strict=True):
+                    known = least.get(h)
+                    if fresh := known is None or order < known:
+                        least[h] = order
+                    lead.append(fresh)
+                if len(least) > REMEMBERED:
+                    least.clear()
                 yield pa.RecordBatch.from_arrays(
-                    [pick(ids), pick(ties), pick(places).cast(pa.int32()), pa.array(hashes, pa.binary()), pa.array(n[some].astype(np.int32)), *(pa.array(x[some].view(np.int64)) for x in bitmaps(flat, offsets)), pa.ListArray.from_arrays(pa.array(starts), pa.array(short))],
-                    names=["doc_id", "tie", "line", "set_hash", "n", "bits", "bits2", "prefix"],
+                    [pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2].astype(np.int32)), pa.array(hashes, pa.binary()), pa.array(n[some].astype(np.int32)), *(pa.array(x[some].view(np.int64)) for x in bitmaps(flat, offsets)), pa.array(prefixes, pa.binary()), pa.array(lead)],
+                    names=["doc_id", "tie", "line", "set_hash", "n", "bits", "bits2", "prefix", "lead"],
                 )
 
-    return stored(map_batches(docs, ["doc_id", "text"], run, "doc_id bigint, tie bigint, line int, set_hash binary, n int, bits bigint, bits2 bigint, prefix array<int>"), "lines")
+    return stored(map_batches(docs, ["doc_id", "text"], run, "doc_id bigint, tie bigint, line int, set_hash binary, n int, bits bigint, bits2 bigint, prefix binary, lead boolean"), "lines")
+
+
+POST = np.dtype([("key", "<u4"), ("id", "<i8"), ("n", "<i4"), ("pos", "<i4"), ("bits", "<u8"), ("bits2", "<u8")])
+
+
+def posts_of(b: pa.RecordBatch) -> np.ndarray:
+    """A post for each token of the prefixes of classes."""
+    raw = [x or b"" for x in b.column("prefix").to_pylist()]
+    size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+    out = np.empty(int(size.sum()), POST)
+    out["key"] = np.frombuffer(b"".join(raw), "<u4")
+    for c in ("id", "n", "bits", "bits2"):
+        values = b.column(c).to_numpy()
+        out[c] = np.repeat(values.view(np.uint64) if c.startswith("bits") else values, size)
+    out["pos"] = np.arange(len(out)) - np.repeat(np.cumsum(size) - size, size)
+    return out
+
+
+def meet(posts: dict[str, np.ndarray], starts: np.ndarray, sizes: np.ndarray, blk: np.ndarray, across: np.ndarray) -> pa.RecordBatch | None:
+    """Edges between the members of each group of posts that the filters let pass; ``across``: of groups of two blocks only pairs across count."""
+    ids, n, pos, bits, bits2 = (posts[c] for c in ("id", "n", "pos", "bits", "bits2"))
+    n, pos = n.astype(np.int64), pos.astype(np.int64)
+
+    def near(x, y):
+        least = least_overlap(n[x], n[y])
+        most = np.minimum(n[x] - pos[x], n[y] - pos[y])  # if this is their first token in common
+        differ = np.bitwise_count(bits[x] ^ bits[y]).astype(np.int64) + np.bitwise_count(bits2[x] ^ bits2[y])
+        return (np.minimum(n[x], n[y]) >= least) & (most >= least) & (n[x] + n[y] - differ >= 2 * least)
+
+    out: list[tuple[int, int]] = []
+    place = np.arange(len(ids)) - np.repeat(starts, sizes)
+    left = np.repeat(sizes, sizes) - place
+    at = np.flatnonzero(np.repeat(sizes <= 64, sizes))
+    for d in range(1, 64):  # all pairs of small groups at once, by their distance
+        at = at[left[at] > d]
+        if not len(at):
+            break
+        ok = near(at, at + d) & (~across[at] | (blk[at] != blk[at + d]))
+        out += list(zip(ids[at[ok]].tolist(), ids[at[ok] + d].tolist(), strict=True))
+    for a, m in zip(starts[sizes > 64].tolist(), sizes[sizes > 64].tolist(), strict=True):
+        at, z = np.arange(a, a + m), a + m
+        ok = np.empty((m, m), bool)
+        for x in range(a, z, 64):  # a few rows at a time: what is compared takes many times the memory of the answer
+            ok[x - a : x - a + 64] = near(at[x - a : x - a + 64, None], at[None, :])
+        if across[a]:
+            ok &= blk[at][:, None] != blk[at][None, :]
+        out += edges_of(np.triu(ok, 1), ids[at])
+    x = np.array(sorted({(min(p), max(p)) for p in out if p[0] != p[1]}), np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"]) if len(x) else None
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """Edges ``a, b`` whose components hold every pair of similar classes (``id, n, bits, bits2, prefix``)."""
+    """Edges ``a, b`` whose components hold every pair of similar classes (``id, n, bits, bits2, prefix``).
+
+    Posts travel packed in buckets of keys, which grow in number with the classes. A
+    hot key is one that a sixteenth of the classes tells to be in more than two blocks'
+    worth of them; its slot in a table of fixed size is marked, and keys of marked
+    slots go as rows that are dealt out in blocks.
+    """
+    spark, block = classes.sparkSession, 2 * BLOCK
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key = np.ascontiguousarray(posts_of(b)["key"])
+            yield pa.RecordBatch.from_arrays([pa.array((key % np.uint32(SLOTS)).astype(np.int32)), pa.array(key.view(np.int32))], names=["slot", "key"])
+
+    some = classes.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(16)) == 0)
+    counts = map_batches(some, ["id", "n", "bits", "bits2", "prefix"], keys, "slot int, key int").groupBy("slot", "key").count()
+    hot = np.zeros(SLOTS, bool)
+    hot[[r["slot"] for r in counts.where(F.col("count") * 16 > block).select("slot").distinct().toLocalIterator()]] = True  # SLOTS at most
+    marked = np.packbits(hot)  # SLOTS / 8 bytes
+    n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), classes.count() * 10 // 200_000)
+
+    def is_hot(key: np.ndarray) -> np.ndarray:
+        return np.unpackbits(marked).view(bool)[key % np.uint32(SLOTS)]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            posts = posts_of(b)
+            posts = posts[~is_hot(posts["key"])]
+            bucket = posts["key"] % np.uint32(n_buckets)
+            order = np.argsort(bucket, kind="stable")
+            posts, bucket = posts[order], bucket[order]
+            if not len(posts):
+                continue
+            starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            raw = memoryview(posts.tobytes())
+            packed = [bytes(raw[POST.itemsize * a : POST.itemsize * z]) for a, z in pairwise([*starts.tolist(), len(posts)])]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[starts].astype(np.int32)), pa.array(packed, pa.binary())], names=["bucket", "posts"])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts, sizes in each_group(batches, "bucket"):
+            raw = table.column("posts").to_pylist()
+            for a, m in zip(starts.tolist(), sizes.tolist(), strict=True):
+                posts = np.frombuffer(b"".join(raw[a : a + m]), POST)
+                posts = posts[np.argsort(posts["key"], kind="stable")]
+                new = np.concatenate([[True], posts["key"][1:] != posts["key"][:-1]])
+                first = np.flatnonzero(new)
+                size = np.diff(np.append(first, len(posts)))
+                several = np.repeat(size > 1, size)
+                posts, size = posts[several], size[size > 1]
+                if len(posts):
+                    none = np.zeros(len(posts), np.int8)
+                    if (found := meet({c: np.ascontiguousarray(posts[c]) for c in POST.names}, np.cumsum(size) - size, size, none, none.view(bool))) is not None:
+                        yield found
+
+    def hot_posts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            posts = posts_of(b)
+            posts = posts[is_hot(posts["key"])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(posts[c]).view(np.dtype(t))) for c, t in (("key", "i4"), ("id", "i8"), ("n", "i4"), ("pos", "i4"), ("bits", "i8"), ("bits2", "i8"))], names=list(POST.names))
+
+    def hot_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts, sizes in each_group(batches, "key", least=50_000):
-            ids, n, pos = (table.column(c).to_numpy() for c in ("id", "n", "pos"))
             blk, bi, bj = blocks_of(table)
-            bits, bits2 = (table.column(c).to_numpy().view(np.uint64) for c in ("bits", "bits2"))
-            n, pos = n.astype(np.int64), pos.astype(np.int64)
-
-            def near(x, y):
-                least = least_overlap(n[x], n[y])  # noqa: B023
-                most = np.minimum(n[x] - pos[x], n[y] - pos[y])  # if this is their first token in common  # noqa: B023
-                differ = np.bitwise_count(bits[x] ^ bits[y]).astype(np.int64) + np.bitwise_count(bits2[x] ^ bits2[y])  # noqa: B023
-                return (np.minimum(n[x], n[y]) >= least) & (most >= least) & (n[x] + n[y] - differ >= 2 * least)  # noqa: B023
-
-            out: list[tuple[int, int]] = []
-            place = np.arange(len(ids)) - np.repeat(starts, sizes)
-            left = np.repeat(sizes, sizes) - place
-            across = bi != bj
-            at = np.flatnonzero(np.repeat(sizes <= 64, sizes))
-            for d in range(1, 64):  # all pairs of small groups at once, by their distance
-                at = at[left[at] > d]
-                if not len(at):
-                    break
-                ok = near(at, at + d) & (~across[at] | (blk[at] != blk[at + d]))
-                out += list(zip(ids[at[ok]].tolist(), ids[at[ok] + d].tolist(), strict=True))
-            for a, m in zip(starts[sizes > 64].tolist(), sizes[sizes > 64].tolist(), strict=True):
-                at = np.arange(a, a + m)
-                ok = near(at[:, None], at[None, :])
-                if bi[a] != bj[a]:
-                    ok &= blk[at][:, None] != blk[at][None, :]
-                out += edges_of(np.triu(ok, 1), ids[at])
-            if out:
-                x = np.array(sorted({(min(p), max(p)) for p in out if p[0] != p[1]}), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
+            columns = {c: table.column(c).to_numpy() for c in POST.names}
+            columns |= {c: columns[c].view(np.uint64) for c in ("bits", "bits2")}
+            if (found := meet(columns, starts, sizes, blk, bi != bj)) is not None:
+                yield found
 
-    posts = classes.select("id", "n", "bits", "bits2", F.posexplode("prefix").alias("pos", "key"))
-    return grouped(in_blocks(posts, "key", 2 * BLOCK), "key").mapInArrow(tidied(lambda batches: forest(pairs(batches))), "a bigint, b bigint")
+    needed = ["id", "n", "bits", "bits2", "prefix"]
+    packed = map_batches(classes, needed, deal, "bucket int, posts binary").repartition("bucket").sortWithinPartitions("bucket")
+    edges = packed.mapInArrow(tidied(lambda batches: forest(pairs(batches))), "a bigint, b bigint")
+    if hot.any():
+        rows = map_batches(classes, needed, hot_posts, "key int, id bigint, n int, pos int, bits bigint, bits2 bigint")
+        edges = edges.unionByName(grouped(in_blocks(rows, "key", block), "key").mapInArrow(tidied(lambda batches: forest(hot_pairs(batches))), "a bigint, b bigint"))
+    return edges
 
 
 def similar_classes(docs: DataFrame, members: DataFrame, levels: np.ndarray) -> DataFrame:
@@ -238,30 +361,45 @@ def dedup(docs: DataFrame) -> DataFrame:
     # What is joined below grows with the documents: merge joins at every size, never a broadcast.
     lines = numbered_lines(docs, levels)
     first = F.min(F.struct("doc_id", "tie", "line", "n", "bits", "bits2", "prefix")).alias("f")
-    classes = stored(lines.groupBy("set_hash").agg(first).select("set_hash", "f.*").withColumn("id", F.monotonically_increasing_id()), "line-classes")
+    classes = stored(lines.where("lead").drop("lead").repartition("set_hash").groupBy("set_hash").agg(first).select("set_hash", "f.*").withColumn("id", F.monotonically_increasing_id()), "line-classes")
     release(spark)
     clusters = components(candidates(classes))
     release(spark)
     members = classes.join(clusters, "id").select(F.col("component").alias("cluster"), "id", "doc_id", "tie", "line")
     links = stored(similar_classes(docs, members, levels), "line-links")
+    discard(clusters)
     release(spark)
     known = classes.select("set_hash", "id", F.struct("doc_id", "tie", "line").alias("first")).join(links, "id", "left")
     verdicts = known.select("set_hash", "first", F.coalesce("earlier", F.lit(False)).alias("earlier"), F.coalesce("links", F.lit(0)).alias("links"))
     judged = lines.select("doc_id", "tie", "line", "set_hash").join(verdicts.hint("merge"), "set_hash")
     gone = judged.withColumn("gone", F.col("earlier") | (F.col("first") != F.struct("doc_id", "tie", "line"))).where("gone or links > 0")
-    marks = stored(gone.groupBy("doc_id", "tie").agg(F.collect_list(F.when(F.col("gone"), F.col("line"))).alias("gone"), F.sum("links").alias("links")), "line-marks")
+    repeated = stored(docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).count().where("count > 1").select("doc_id"), "repeated-ids")
+    copied = None
+    if not repeated.isEmpty():  # rows that repeat a document and its text come with as many rows for each line
+        of_line = lines.join(repeated, "doc_id", "left_semi").groupBy("doc_id", "tie", "line").count().where("count > 1")
+        copied = of_line.select("doc_id", "tie").distinct().select("doc_id", "tie", F.array().cast("array<int>").alias("gone"), F.lit(0).cast("bigint").alias("links"), F.lit(True).alias("copied"))
+        gone = gone.dropDuplicates(["doc_id", "tie", "line"])
+    marks = gone.groupBy("doc_id", "tie").agg(F.collect_list(F.when(F.col("gone"), F.col("line"))).alias("gone"), F.sum("links").alias("links")).withColumn("copied", F.lit(False))
+    marks = stored(marks.unionByName(copied) if copied is not None else marks, "line-marks")
+    discard(lines, classes, links, repeated)
     release(spark)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()  # of documents that are repeated as a whole
         for b in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
             texts, n, removed, links = [], [], [], []
-            for t, marks in zip(b.column("text").to_pylist(), b.column(marked).to_pylist(), strict=True):
+            for doc, t, marks in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column(marked).to_pylist(), strict=True):
                 pieces = t.split("\n") if t else []
                 drop, found = set(), 0
                 tie = xxhash.xxh3_64_intdigest(t.encode()) >> 1 if t else 0
                 for m in marks or ():
                     if m["tie"] == tie:
-                        drop, found = set(m["gone"]), m["links"]
+                        drop.update(m["gone"])
+                        found += m["links"]
+                        if m["copied"]:
+                            if (doc, tie) in seen:
+                                drop.update(i for i, p in enumerate(pieces) if p.strip(_BLANK))
+                            seen.add((doc, tie))
                 kept = [p for i, p in enumerate(pieces) if i not in drop]
                 texts.append("\n".join(kept if any(p.strip() for p in kept) or not drop else []) if t is not None else None)
                 n.append(len(pieces))
@@ -270,7 +408,7 @@ def dedup(docs: DataFrame) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(links, pa.int64())], names=[*names, "n_lines", "n_removed", "n_links"])
 
-    by_doc = marks.groupBy("doc_id").agg(F.collect_list(F.struct("tie", "gone", "links")).alias(marked)).withColumnRenamed("doc_id", doc_key)
+    by_doc = marks.groupBy("doc_id").agg(F.collect_list(F.struct("tie", "gone", "links", "copied")).alias(marked)).withColumnRenamed("doc_id", doc_key)
     joined = docs.join(by_doc.hint("merge"), docs["doc_id"] == by_doc[doc_key], "left").select(*(docs[c] for c in docs.columns), marked)
     head = ", ".join(f"`{c}` {k}" for c, k in docs.dtypes)
     return joined.mapInArrow(tidied(cut), f"{head}, n_lines bigint, n_removed bigint, n_links bigint")
