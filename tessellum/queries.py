@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import ids, normalise, scores, tokens
-from .operators import answer, bm25, chunker, dependency, incremental, neighbours, ranking, vector
-from .sources import html, publish
+from .operators import answer, bm25, dependency, incremental, neighbours, ranking, vector
+from .sources import html
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -105,7 +105,7 @@ _HITS = f"""{_TOK}, {_VEC},
 def _candidates(spark, sf_dir):
     marks = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("node_id")).agg(F.max("quality").alias("q"))
     marks = marks.select("node_id", F.when(F.col("q") == 1, "high").when(F.col("q") == 0, "low").alias("coherence"))
-    found = ranking.aggregate_hits(_hits(spark, sf_dir)).join(marks, "node_id", "left").withColumn("is_neighbor", F.lit(False))
+    found = ranking.with_metadata(ranking.aggregate_hits(_hits(spark, sf_dir)), marks).withColumn("is_neighbor", F.lit(False))
     return ranking.placed(ranking.score_candidates(found))
 
 
@@ -299,31 +299,9 @@ def extractive_answer(spark, sf_dir):
     return answer.extractive(b.select(F.col("item_id").alias("query_id")), c).select("query_id", "answer")
 
 
-@query()
-def technical_tokens(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", tokens.tokens(F.col("text")).alias("tokens"), tokens.token_size(F.col("text")).alias("token_size"))
-
-
-@query()
-def markdown_chunks(spark, sf_dir):
-    """Each line of a document becomes a paragraph, every fifth a heading, so that sections of all sizes occur."""
-    lined = F.array_join(F.transform(F.split("text", "\n"), lambda line, i: F.when(i % 5 == 0, F.concat(F.when(i % 10 == 0, "## ").otherwise("### "), line)).otherwise(line)), "\n\n")
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_key"), F.col("doc_id").cast("string").alias("doc_id"), lined.alias("text"))
-    return chunker.chunk(docs).select("doc_id", "chunk_index", "node_id", "token_size", "heading_path")
-
-
 @query()
 def html_to_markdown(spark, sf_dir):
     return html.markdown_of(table(spark, sf_dir, "pages"), "html", ["page_id", "url"])
 
 
-@query()
-def chunk_previews(spark, sf_dir):
-    t = _turns(spark, sf_dir).withColumns({"heading_path": F.lit(""), "token_size": tokens.token_size(F.col("text"))})
-    return publish.previews(t)
-
-
-@query()
-def dependency_fallback(spark, sf_dir):
-    t = _turns(spark, sf_dir).withColumns({"node_id": F.col("node_id").cast("string"), "doc_id": F.col("doc_id").cast("string"), "summary": F.lit(""), "heading_path": F.lit(""), "keywords": F.array().cast("array<string>"), "dependency_topics": F.array().cast("array<string>")})
-    return dependency.fallback_targets(t.where("chunk_index = 0").select(F.col("node_id").alias("source_id"), F.lit(0).alias("edge_pos"), F.substring("text", 1, 60).alias("reason"), F.lit("").alias("topic")), t)
+from . import coverage  # noqa: E402, F401  (registers the rest)
