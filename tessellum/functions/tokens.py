@@ -7,18 +7,17 @@ from pyspark.sql import functions as F
 
 #: White space by Unicode; Java's ``\s`` knows ASCII alone.
 SPACE = r"[\s\u001c-\u001f\u0085   -     　]"
+# Compounds that count as tokens.
 COMPOUNDS = ("向量召回", "谷歌订阅", "订阅支付", "查询改写")
 _OPEN, _CLOSE = "", ""
-_TAIL = r"[A-Za-z0-9_.-]"
-_TECHNICAL = "|".join(
-    (
-        r"/[A-Za-z0-9_./-]+",
-        rf"[A-Za-z]+{_TAIL}*_{_TAIL}+",
-        rf"[A-Za-z]+{_TAIL}*-{_TAIL}+",
-        r"[A-Za-z]+(?:\.[A-Za-z0-9_-]+)+",
-        rf"[A-Za-z]+{SPACE}+\p{{Nd}}+(?:\.\p{{Nd}}+)*",
-        r"(?<![A-Za-z])(?i:id|md|api|ui|llm)(?![A-Za-z])",
-    )
+# The words that stay whole.
+_TECHNICAL = (
+    r"/[A-Za-z0-9_./-]+"
+    r"|[A-Za-z]+[A-Za-z0-9_.-]*_[A-Za-z0-9_.-]+"
+    r"|[A-Za-z]+[A-Za-z0-9_.-]*-[A-Za-z0-9_.-]+"
+    r"|[A-Za-z]+(?:\.[A-Za-z0-9_-]+)+"
+    rf"|[A-Za-z]+{SPACE}+\p{{Nd}}+(?:\.\p{{Nd}}+)*"
+    r"|(?<![A-Za-z])(?i:id|md|api|ui|llm)(?![A-Za-z])"
 )
 _PIECES = rf"{_OPEN}[^{_CLOSE}]*{_CLOSE}|[A-Za-z0-9_./-]+|[一-鿿]+"
 _MARKS = r"""[`"'()\[\]{}<>:;,.!?，。；：、]"""

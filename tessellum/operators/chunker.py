@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from ..functions.ids import node_id
 from ..functions.scores import ATOMIC
 
+# Fixed values.
 ATOMIC_TOKENS = 1000
 TINY_TOKENS = 50
-_TABLE_LINE = re.compile(r"^\s*\|.*\|\s*$")
-_TABLE_RULE = re.compile(r"^\s*\|?\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)*\|?\s*$")
+_RULE_CELL = re.compile(r":?-{3,}:?")
 _HEADING = re.compile(r"^(#+)\s+(.*?)\s*$")
 _PLAIN = re.compile(r"[A-Za-z0-9_./-]+|[一-鿿]+")
 _MARKS = "`\"'()[]{}<>:;,.!?，。；：、"
@@ -51,8 +51,20 @@ def token_size(text: str) -> int:
     return n + plain(text[last:])
 
 
+def is_row(line: str) -> bool:
+    """Bars at both ends with something between."""
+    bare = line.strip()
+    return len(bare) > 2 and bare[0] == bare[-1] == "|"
+
+
+def is_rule(line: str) -> bool:
+    """Two cells or more, each of three dashes at least, perhaps with colons; outer bars may be missing."""
+    cells = line.strip().removeprefix("|").removesuffix("|").split("|")
+    return len(cells) > 1 and all(_RULE_CELL.fullmatch(c.strip()) for c in cells)
+
+
 def is_table(lines: list[str], i: int) -> bool:
-    return i + 1 < len(lines) and bool(_TABLE_LINE.match(lines[i])) and bool(_TABLE_RULE.match(lines[i + 1]))
+    return i + 1 < len(lines) and is_row(lines[i]) and is_rule(lines[i + 1])
 
 
 def blocks(markdown: str) -> list[str]:
@@ -76,7 +88,7 @@ def blocks(markdown: str) -> list[str]:
         elif is_table(lines, i):
             flush()
             i += 2
-            while i < len(lines) and _TABLE_LINE.match(lines[i]):
+            while i < len(lines) and is_row(lines[i]):
                 i += 1
             out.append("\n".join(lines[start:i]).strip())
         elif bare.startswith("#"):

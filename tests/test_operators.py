@@ -24,6 +24,23 @@ def test_fences_and_tables_stay_whole():
     assert chunker.split("") == [] and chunker.split("   \n ") == []
 
 
+@pytest.mark.parametrize(("rule", "ok"), [("| --- | --- |", True), ("--- | :---:", True), ("| --- |", False), ("|--|--|", False), ("| --- | x |", False), ("|:---|---:|", True)])
+def test_table_rules(rule, ok):
+    assert chunker.is_table(["| a | b |", rule], 0) == ok
+    assert not chunker.is_table(["a | b", rule], 0) and not chunker.is_table(["||", rule], 0)
+
+
+def test_both_token_counters_agree(spark):
+    texts = ["", "API v2 and id2 id, md. UI-kit", "/a/b.c x_y.z-1 foo.bar 12.5 e-mail@x.com", "错误码E1001 表示 api", "  `quoted` (x) [y] a b cd -- __", "Release 1.2.3 of Foo 7 and v 8", "\u3000全角 空格 id 3", "a\xa0b word\u2003 9"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", tokens.token_size(F.col("t")).alias("n")).collect()
+    assert {r["i"]: r["n"] for r in got} == {i: chunker.token_size(t) for i, t in enumerate(texts)}
+
+
+def test_deeply_nested_inline_tags_take_linear_time():
+    page = "<p>" + "<b><i>" * 200 + "deep" + "</i></b>" * 200 + "</p>" + "<div>" * 3000 + "end"
+    assert "deep" in html.convert(page) and "end" in html.convert(page)
+
+
 def test_long_prose_is_cut_with_overlap():
     text = "# H\n\n" + "\n\n".join(f"Paragraph number {i} with several quite ordinary words in it." for i in range(120))
     found = [t for t, _ in chunker.split(text, 128, 40)]
