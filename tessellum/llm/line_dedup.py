@@ -246,7 +246,7 @@ def candidates(classes: DataFrame) -> DataFrame:
     hot = np.zeros(SLOTS, bool)
     hot[[r["slot"] for r in counts.where(F.col("count") * 16 > block).select("slot").distinct().toLocalIterator()]] = True  # SLOTS at most
     marked = np.packbits(hot)  # SLOTS / 8 bytes
-    n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), classes.count() * 10 // 200_000)
+    n_buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), classes.count() * 10 // 100_000)
 
     def is_hot(key: np.ndarray) -> np.ndarray:
         return np.unpackbits(marked).view(bool)[key % np.uint32(SLOTS)]
