@@ -6,6 +6,8 @@ answers, HTML), the query derives it from whole tables by rules that SQL can sta
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -302,7 +304,7 @@ _REASON = "the of and de la le der und die el"
 
 
 @query(f"""
-    WITH {_EDGE_SQL}, seeds AS (SELECT doc_id % 50 AS query_id, doc_id AS node_id, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id) AS seed_rank FROM documents QUALIFY seed_rank <= 10),
+    WITH {_EDGE_SQL}, seeds AS (SELECT doc_id // 40 AS query_id, doc_id AS node_id, row_number() OVER (PARTITION BY doc_id // 40 ORDER BY doc_id) AS seed_rank FROM documents QUALIFY seed_rank <= 10),
     p0 AS (SELECT query_id, seed_rank, rq.source_id, rq.edge_pos, rq.target_id, confidence, edge_rank, d.doc_id IS NOT NULL AS there FROM seeds JOIN rq ON rq.source_id = seeds.node_id LEFT JOIN documents d ON d.doc_id = rq.target_id),
     src AS (SELECT doc_id AS k, text AS x FROM documents), {_tokens_sql("src")},
     w AS (SELECT DISTINCT k, token FROM tok WHERE token IN (SELECT unnest(string_split('{_REASON}', ' ')))),
@@ -316,10 +318,10 @@ _REASON = "the of and de la le der und die el"
     SELECT query_id, source_id, target_id, CAST(ord AS INTEGER) AS ord FROM s WHERE own OR slot <= 16 - n
 """)
 def dependency_expansion(spark, sf_dir):
-    """Accepted dependencies of ten seeds for each of 50 questions, targets that are gone replaced by the likeliest chunk of their document."""
+    """Accepted dependencies of ten seeds for each question, one to 40 chunks, targets that are gone replaced by the likeliest chunk of their document."""
     d, none = table(spark, sf_dir, "documents"), F.array().cast("array<string>")
     chunks = d.select(F.col("doc_id").alias("node_id"), F.col("source").alias("doc_id"), "text", F.lit("").alias("summary"), F.lit("").alias("heading_path"), none.alias("keywords"), none.alias("dependency_topics"))
-    flat = d.select((F.col("doc_id") % 50).alias("query_id"), F.col("doc_id").alias("node_id"), F.lit(1.0).alias("seed_score"), F.col("doc_id").alias("pos"))
+    flat = d.select(F.floor(F.col("doc_id") / 40).alias("query_id"), F.col("doc_id").alias("node_id"), F.lit(1.0).alias("seed_score"), F.col("doc_id").alias("pos"))
     seeds = dependency.pick_seeds(flat, 0.0, 10)
     edges = _edges(spark, sf_dir).withColumns({"relation_type": F.lit("constraint"), "reason": F.lit(_REASON), "topic": F.lit("")})
     return dependency.expand(seeds, edges, chunks, 0.7, 5, 16)[0].select("query_id", "source_id", "target_id", "ord")
@@ -379,3 +381,80 @@ def mhtml_packages(spark, sf_dir):
     )
     files = table(spark, sf_dir, "documents").select(F.concat(F.lit("file:/in/Export "), name, F.lit(".doc")).alias("path"), F.encode(body, "UTF-8").alias("content"))
     return html.preprocess(files).select("path", "work_name", F.sha2("markdown", 256).alias("markdown"), F.size("assets").alias("n_assets"), F.col("assets")[0]["file"].alias("file"))
+
+
+def _write(spark, folder: str, name: str, text: str | None) -> None:
+    """A small file on any file system; None deletes it."""
+    fs, path = publish._fs(spark, f"{folder}/{name}")
+    if text is None:
+        fs.delete(path, False)
+        return
+    out = fs.create(path, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+@query("""
+    WITH n AS (SELECT n_nationkey AS k, n_name AS name, n_regionkey AS r, CASE WHEN n_nationkey % 2 = 0 THEN 'nation ' || n_nationkey ELSE 'nation_' || n_nationkey || '.md' END AS doc_id FROM nation WHERE n_nationkey % 5 <> 0),
+    c AS (SELECT k, doc_id, 0 AS i, '# ' || name AS text, name AS h FROM n
+          UNION ALL SELECT k, doc_id, 1, '## Place' || chr(10) || chr(10) || CASE WHEN k % 3 = 1 THEN 'Moved from region ' ELSE 'Lies in region ' END || r || '.', 'Place' FROM n
+          UNION ALL SELECT k, doc_id, 2, '## Keys' || chr(10) || chr(10) || '- nation ' || k, 'Keys' FROM n)
+    SELECT 'nation_' || k || '.md' AS doc_key, doc_id, CAST(i AS INTEGER) AS chunk_index, substr(sha256(concat_ws('|', doc_id, i, substr(sha256(text), 1, 16))), 1, 24) AS node_id, text, h AS heading_path, h AS summary, 2 AS n_vectors FROM c
+""")
+def published_chunks(spark, sf_dir):
+    """Every nation as a Markdown file, some with lineage: an index is built, files change and go, and what the next build publishes is read."""
+    from .config import IndexConfig
+    from .plans.build import build
+    from .providers import EmptyGraph, HashEmbedder, RuleAnnotator
+    from .sources.documents import load_markdown, source_manifest
+    from .storage import delete, shared_dir
+
+    folder = shared_dir(spark, "nations")
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").collect()  # the 25 rows of a fixed table
+    text = lambda n, verb: f"# {n.n_name}\n\n## Place\n\n{verb} region {n.n_regionkey}.\n\n## Keys\n\n- nation {n.n_nationkey}\n"
+    for n in nations:
+        _write(spark, f"{folder}/docs", f"Nation_{n.n_nationkey}.md", text(n, "Lies in"))
+    records = [{"cleaned_markdown_path": f"nation_{n.n_nationkey}.md", "doc_id": f"nation {n.n_nationkey}", "source_file_name": f"{n.n_name}.docx"} for n in nations if n.n_nationkey % 2 == 0]
+    _write(spark, folder, "manifest.json", json.dumps({"documents": records}))
+    run = lambda: build(spark, load_markdown(spark, f"{folder}/docs", source_manifest(spark, f"{folder}/manifest.json")), f"{folder}/index", IndexConfig(), RuleAnnotator(), EmptyGraph(), HashEmbedder())
+    run()
+    for n in nations:
+        if n.n_nationkey % 5 == 0:
+            _write(spark, f"{folder}/docs", f"Nation_{n.n_nationkey}.md", None)
+        elif n.n_nationkey % 3 == 1:
+            _write(spark, f"{folder}/docs", f"Nation_{n.n_nationkey}.md", text(n, "Moved from"))
+    run()
+    version = publish.current(spark, f"{folder}/index", HashEmbedder().model)
+    delete(spark, f"{folder}/docs")
+    vectors = spark.read.parquet(f"{version}/vectors").groupBy("node_id").agg(F.count("*").cast("int").alias("n_vectors"))
+    return spark.read.parquet(f"{version}/chunks").join(vectors, "node_id", "left").select("doc_key", "doc_id", "chunk_index", "node_id", "text", "heading_path", "summary", "n_vectors")
+
+
+@query("""
+    WITH t AS (SELECT DISTINCT ON (conv_id, turn) conv_id, turn, role, text FROM conversations)
+    SELECT CAST(conv_id AS VARCHAR) AS doc_key, sha256(string_agg(conv_id || '/' || turn || ' ' || coalesce(role, '') || ' ' || substr(coalesce(text, ''), 1, 800), chr(10) ORDER BY turn)) AS digest, count(*) AS n FROM t GROUP BY 1
+""")
+def aggregation_prompts(spark, sf_dir):
+    """What a model is told of each conversation's turns, read back from the prompts."""
+    from .plans.build import aggregation_prompts as prompts_of
+
+    c = table(spark, sf_dir, "conversations").dropDuplicates(["conv_id", "turn"])
+    name = F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"))
+    chunks = c.select(F.col("conv_id").cast("string").alias("doc_key"), F.col("turn").cast("int").alias("chunk_index"), name.alias("node_id"), F.coalesce("role", F.lit("")).alias("heading_path"), F.lit("s").alias("summary"), F.array(F.lit("t")).alias("dependency_topics"), F.coalesce("text", F.lit("")).alias("text"))
+    said = prompts_of(chunks).select("doc_key", F.from_json("prompt", "document string, nodes array<struct<node_id:string,heading_path:string,summary:string,dependency_topics:array<string>,text:string>>").alias("p"))
+    lines = F.array_join(F.transform("p.nodes", lambda n: F.concat(n.node_id, F.lit(" "), n.heading_path, F.lit(" "), n.text)), "\n")
+    return said.select("doc_key", F.sha2(lines, 256).alias("digest"), F.size("p.nodes").cast("bigint").alias("n"))
+
+
+@query("""
+    WITH t AS (SELECT DISTINCT conv_id, turn, conv_id * 1000 + turn AS i FROM conversations)
+    SELECT a.i AS node_id, '当前内容：S' || a.i || chr(10) || '章节：Turn ' || a.turn || chr(10) || '依赖主题：next、after' || chr(10) || '相关依赖内容：S' || b.i || '；why' AS text FROM t a JOIN t b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1
+""")
+def dependency_vector_texts(spark, sf_dir):
+    """What is embedded for each turn that depends on the next one: an edge with a topic to it, and one with a reason to a turn that is gone."""
+    t = _turns(spark, sf_dir)
+    chunks = t.select("node_id", F.concat(F.lit("S"), F.col("node_id").cast("string")).alias("summary"), F.concat(F.lit("Turn "), F.col("chunk_index").cast("string")).alias("heading_path"), "text")
+    following = t.select((F.col("node_id") - 1).alias("source_id")).join(t.select(F.col("node_id").alias("source_id")), "source_id", "left_semi")
+    edge = lambda pos, target, topic, reason: F.struct(F.lit(pos).alias("edge_pos"), target.cast("bigint").alias("target_id"), F.lit(topic).alias("topic"), F.lit(reason).alias("reason"))
+    edges = following.select("source_id", F.inline(F.array(edge(0, F.col("source_id") + 1, "next", ""), edge(1, F.lit(-1), "after", "why"))))
+    return dependency.vector_texts(edges, chunks)

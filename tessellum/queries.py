@@ -133,7 +133,7 @@ def _turns(spark, sf_dir):
 
 @query("""
     WITH t AS (SELECT DISTINCT conv_id, turn, conv_id * 1000 + turn AS node_id FROM conversations),
-    c AS (SELECT conv_id % 10 AS query_id, node_id, conv_id, turn, row_number() OVER (PARTITION BY conv_id % 10 ORDER BY node_id) AS pos FROM t WHERE turn % 2 = 0),
+    c AS (SELECT conv_id // 3 AS query_id, node_id, conv_id, turn, row_number() OVER (PARTITION BY conv_id // 3 ORDER BY node_id) AS pos FROM t WHERE turn % 2 = 0),
     n AS (SELECT c.query_id, t.node_id, c.node_id AS center_node_id, c.pos AS rank, CASE WHEN t.turn < c.turn THEN 0 ELSE 1 END AS side
           FROM c JOIN t ON t.conv_id = c.conv_id AND abs(t.turn - c.turn) = 1 WHERE c.pos <= 5),
     f AS (SELECT *, row_number() OVER (PARTITION BY query_id, node_id ORDER BY rank, side) AS r FROM n ANTI JOIN c USING (query_id, node_id))
@@ -141,7 +141,7 @@ def _turns(spark, sf_dir):
 """)
 def neighbour_expansion(spark, sf_dir):
     turns = _turns(spark, sf_dir)
-    some = turns.where("chunk_index % 2 = 0").select((F.col("doc_id") % 10).alias("query_id"), "node_id", F.lit(0.0).alias("s"), F.col("node_id").alias("first_seq"))
+    some = turns.where("chunk_index % 2 = 0").select(F.floor(F.col("doc_id") / 3).alias("query_id"), "node_id", F.lit(0.0).alias("s"), F.col("node_id").alias("first_seq"))
     return neighbours.expand(ranking.placed(some, "s"), turns, 1, 5)
 
 
@@ -188,7 +188,7 @@ def required_edges(spark, sf_dir):
 
 
 @query(f"""
-    WITH {_EDGE_SQL}, seeds AS (SELECT doc_id % 20 AS query_id, doc_id AS node_id, row_number() OVER (PARTITION BY doc_id % 20 ORDER BY doc_id) AS seed_rank FROM documents QUALIFY seed_rank <= 5),
+    WITH {_EDGE_SQL}, seeds AS (SELECT doc_id // 20 AS query_id, doc_id AS node_id, row_number() OVER (PARTITION BY doc_id // 20 ORDER BY doc_id) AS seed_rank FROM documents QUALIFY seed_rank <= 5),
     p AS (SELECT query_id, seed_rank, target_id, confidence, edge_rank, row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, seed_rank, edge_rank) AS ord
           FROM seeds JOIN rq ON rq.source_id = seeds.node_id SEMI JOIN documents d ON d.doc_id = rq.target_id),
     f AS (SELECT p.*, min(ord) OVER (PARTITION BY query_id, target_id) AS first_ord, (query_id, target_id) IN (SELECT (query_id, node_id) FROM seeds) AS own FROM p),
@@ -197,7 +197,7 @@ def required_edges(spark, sf_dir):
 """)
 def dependency_budget(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    flat = docs.select((F.col("doc_id") % 20).alias("query_id"), F.col("doc_id").alias("node_id"), F.lit(1.0).alias("seed_score"), F.col("doc_id").alias("pos"))
+    flat = docs.select(F.floor(F.col("doc_id") / 20).alias("query_id"), F.col("doc_id").alias("node_id"), F.lit(1.0).alias("seed_score"), F.col("doc_id").alias("pos"))
     seeds = dependency.pick_seeds(flat, 0.0, 5)
     chosen = dependency.required_edges(_edges(spark, sf_dir), 0.7, 5)
     pending = seeds.join(chosen, seeds["node_id"] == chosen["source_id"]).join(docs.select(F.col("doc_id").alias("target_id")), "target_id", "left_semi")
