@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 from dataclasses import dataclass, fields
 from typing import TypeVar
@@ -58,3 +59,12 @@ def from_env(kind: type[T], prefix: str = "TESSELLUM_") -> T:
             default = f.default
             values[f.name] = flag(name, bool(default)) if isinstance(default, bool) else type(default)(os.environ[name].strip())
     return kind(**values)
+
+
+def prompt(path: str | None, default: str) -> tuple[str, str]:
+    """A prompt's text, from a file on the driver where there is one, and its hash, which belongs into the manifest and the keys of caches."""
+    text = default
+    if path and os.path.exists(path):
+        with open(path, encoding="utf-8") as f:
+            text = f.read()
+    return text, hashlib.sha256(text.encode()).hexdigest()

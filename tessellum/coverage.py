@@ -458,3 +458,28 @@ def dependency_vector_texts(spark, sf_dir):
     edge = lambda pos, target, topic, reason: F.struct(F.lit(pos).alias("edge_pos"), target.cast("bigint").alias("target_id"), F.lit(topic).alias("topic"), F.lit(reason).alias("reason"))
     edges = following.select("source_id", F.inline(F.array(edge(0, F.col("source_id") + 1, "next", ""), edge(1, F.lit(-1), "after", "why"))))
     return dependency.vector_texts(edges, chunks)
+
+
+@query("""
+    SELECT doc_id, text IS NULL AS no_text, '["' || doc_id || '","x"]' AS tags, '{"lang":"' || lang || '"}' AS facts, CAST(CAST(n_chars AS DECIMAL(12, 2)) AS VARCHAR) AS size FROM documents WHERE lang IS NOT NULL
+""")
+def flat_metadata(spark, sf_dir):
+    """Lists and structs as JSON, other kinds as text."""
+    from .functions import metadata
+
+    d = table(spark, sf_dir, "documents").where("lang is not null")
+    return metadata.flat(d.select("doc_id", F.col("text").isNull().alias("no_text"), F.array(F.col("doc_id").cast("string"), F.lit("x")).alias("tags"), F.struct("lang").alias("facts"), F.col("n_chars").cast("decimal(12,2)").alias("size")))
+
+
+@query("""
+    WITH d AS (SELECT source, count(*) AS total, count(l.doc_id) AS done FROM documents LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY 1)
+    SELECT source, total, done, round(100.0 * done / total, 6) AS percent FROM d UNION ALL SELECT 'none', 0, 0, 100.0
+""")
+def progress(spark, sf_dir):
+    """How far the labelling of each source is, and of one without documents."""
+    from .functions import metadata
+
+    done = table(spark, sf_dir, "labels").select("doc_id", F.lit(1).alias("one")).distinct()
+    n = table(spark, sf_dir, "documents").join(done, "doc_id", "left").groupBy("source").agg(F.count("*").alias("total"), F.count("one").alias("done"))
+    n = n.unionByName(n.agg(F.lit("none").alias("source"), F.lit(0).cast("bigint").alias("total"), F.lit(0).cast("bigint").alias("done")))
+    return n.withColumn("percent", F.round(metadata.percent(F.col("done"), F.col("total")), 6))

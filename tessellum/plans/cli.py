@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..config import IndexConfig, QueryConfig, from_env
-from ..providers import EmptyGraph, HashEmbedder, RuleAnnotator
+from ..providers import EmptyGraph, RuleAnnotator, embedder as make_embedder
 from ..sources import documents, html
 from . import build as builder
 from .retrieve import QueryService
@@ -46,7 +46,7 @@ def main(argv: list[str] | None = None) -> int:
     args = parser.parse_args(argv)
     logging.basicConfig(stream=sys.stderr, level=logging.INFO, format="%(asctime)s %(levelname)s %(message)s")
     spark = SparkSession.builder.appName("tessellum").getOrCreate()
-    embedder = HashEmbedder()
+    embedder = make_embedder(from_env(IndexConfig).embedding_model)
     if args.command == "preprocess":
         with phase("preprocess", input=args.input):
             html.preprocess(documents.word_files(spark, args.input, not args.flat)).write.mode("overwrite").parquet(args.output)

@@ -73,6 +73,37 @@ class EmptyGraph:
         return [json.dumps({"node_dependencies": {n["node_id"]: [] for n in json.loads(p)["nodes"]}}) for p in prompts]
 
 
+#: Makers of embedders by the prefix of a model's name; ``register`` adds to them.
+EMBEDDERS: dict[str, Callable[[str], Embedder]] = {"hash": lambda name: HashEmbedder(int(name.partition("-")[2] or 64))}
+#: Makers of text models by kind (annotator, grapher, rewriter, reranker, router, answerer), given a key.
+TEXT_MODELS: dict[str, Callable[[str], TextModel]] = {}
+
+
+def register(kind: str, make: Callable[[str], object]) -> None:
+    """A kind of ``TEXT_MODELS``, or the prefix of an embedder's names as ``embedder:<prefix>``."""
+    if kind.startswith("embedder:"):
+        EMBEDDERS[kind.partition(":")[2]] = make  # type: ignore[assignment]
+    else:
+        TEXT_MODELS[kind] = make  # type: ignore[assignment]
+
+
+def embedder(name: str) -> Embedder:
+    """The embedder of a model's name, which the index's manifest keeps; raises for a name that nothing makes."""
+    make = EMBEDDERS.get(name.partition("-")[0])
+    if make is None:
+        raise ValueError(f"no provider makes embeddings by {name}")
+    return make(name)
+
+
+def text_model(kind: str, key: str | None, needed: bool = False) -> TextModel | None:
+    """A text model of a kind. Without a key or a maker there is none: an optional step is then left out, a needed one raises."""
+    if key and kind in TEXT_MODELS:
+        return TEXT_MODELS[kind](key)
+    if needed:
+        raise ValueError(f"{kind} needs a provider and its key")
+    return None
+
+
 def retrying(model: Callable[[list], list], tries: int = 3, pause: Callable[[float], None] = time.sleep) -> Callable[[list], list]:
     """Calls again after 1, 2, 4 ... seconds; the last failure is raised."""
 
@@ -94,6 +125,8 @@ def retrying(model: Callable[[list], list], tries: int = 3, pause: Callable[[flo
 
 def embed(rows: DataFrame, embedder: Embedder, route: str, batch: int = 20) -> DataFrame:
     """``route, node_id, embedding, embedding_model`` of ``rows(node_id, text)``; an empty text has an empty vector."""
+    if batch < 1:
+        raise ValueError("a batch holds one text at least")
     model = embedder.model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..schemas import VECTORS
+
 TABLES = ("documents", "chunks", "edges", "cards", "vectors", "doc_state", "keywords/postings", "keywords/doc_stats", "keywords/term_stats", "keywords/corpus_stats")
 SCHEMA_VERSION = "index_manifest_v1"
 
@@ -38,6 +40,28 @@ def current(spark: SparkSession, root: str, embedding_model: str | None = None)
     return f"{root}/versions/{m['version']}"
 
 
+def vectors(spark: SparkSession, folder: str, route: str) -> DataFrame:
+    """A route's vectors in a version's folder; an index without any has an empty table."""
+    fs, p = _fs(spark, f"{folder}/vectors")
+    rows = spark.read.schema(VECTORS).parquet(f"{folder}/vectors") if fs.exists(p) else spark.createDataFrame([], VECTORS)
+    return rows.where(F.col("route") == route)
+
+
+def adopt(spark: SparkSession, root: str, facts: dict) -> str | None:
+    """Makes tables that stand in ``root`` itself, as written before there were versions, the first version; None if there are none or a version is published."""
+    fs, chunks = _fs(spark, f"{root}/chunks")
+    if read_manifest(spark, root) is not None or not fs.exists(chunks):
+        return None
+    folder = f"{root}/versions/00000000T000000-adopted"
+    for name in TABLES:
+        (_, old), (_, new) = _fs(spark, f"{root}/{name}"), _fs(spark, f"{folder}/{name}")
+        if fs.exists(old):
+            fs.mkdirs(new.getParent())
+            fs.rename(old, new)
+    _swap(spark, f"{root}/manifest.json", json.dumps(facts | {"schema_version": SCHEMA_VERSION, "version": folder.rsplit("/", 1)[1]}))
+    return folder
+
+
 def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], facts: dict, checks: DataFrame | None = None, keep: int = 2) -> str:
     """Writes a version, checks it, moves the pointer in one rename, then drops old versions. A failure leaves the pointer and removes what was written."""
     version = dt.datetime.now(dt.timezone.utc).strftime("%Y%m%dT%H%M%S") + "-" + uuid.uuid4().hex[:8]
