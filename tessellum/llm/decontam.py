@@ -7,9 +7,11 @@ any passage that matches, on diagonals no further apart than the edits. Every pl
 text is looked up among the hashes of all pieces, however common they are, and every run
 of that many hits is verified by the exact edit distance of the item to the substrings
 there. What is found is therefore exact and complete, whatever else is in the benchmark;
-no embedding or LSH, which would lose matches, stands before the verification.
+no embedding or LSH, which would lose matches, stands before the verification (README
+has figures of that).
 
-Items of fewer than four words must occur exactly. The index of the items is
+Items of fewer than four words and fewer than 20 characters must occur exactly, between
+spaces unless they are written in a script that sets none. The index of the items is
 broadcast in groups of a bounded size; larger benchmarks take more scans.
 
 Edge cases: null or blank texts and items match nothing; repeated documents or items
@@ -20,6 +22,7 @@ an empty table on either side gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import reduce
 
@@ -31,6 +34,7 @@ from pyspark.sql import functions as F
 from ._common import map_batches, tidied
 
 _PIECE = 8  # longest piece, in characters
+_SHORT = 20  # characters from which on an item of few words may be edited
 _CHUNK = 1 << 20  # characters that are looked up at a time, unless a text is longer
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -44,7 +48,7 @@ class Index:
             words = (text or "").lower().split()
             if words:
                 flat = " ".join(words)
-                self.items.append((item_id, len(words), flat, int(len(flat) * edits) if len(words) > 3 else 0))
+                self.items.append((item_id, len(words), flat, int(len(flat) * edits) if len(words) > 3 or len(flat) >= _SHORT else 0))
         self.sizes = np.array([len(f) for _, _, f, _ in self.items], np.int64)
         self.most = np.array([k for *_, k in self.items], np.int64)
         self.longest = int(self.sizes.max(initial=1))
@@ -121,7 +125,7 @@ class Index:
             flat, a = flats[d], max(0, lo - most)
             for edits, start, end in _places(text, flat[a : max(0, hi) + len(text) + most], most):
                 start, end = a + start, a + end
-                if not most and not ((start == 0 or flat[start - 1] == " ") and (end == len(flat) or flat[end] == " ")):
+                if not most and not ((start == 0 or flat[start - 1] == " " or _unspaced(text[0])) and (end == len(flat) or flat[end] == " " or _unspaced(text[-1]))):
                     continue
                 w0, w1 = flat.count(" ", 0, start), flat.count(" ", 0, max(start, end - 1))
                 key = (d, i, w0)
@@ -137,6 +141,11 @@ class Index:
         return out
 
 
+def _unspaced(c: str) -> bool:
+    """Whether words of the letter's script stand without spaces: from Thai on, letters without case but for Hangul."""
+    return c >= "\u0e00" and unicodedata.category(c) == "Lo" and not "\uac00" <= c <= "\ud7a3"
+
+
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
 

@@ -98,7 +98,7 @@ def leaks(docs, items, edits, distance):
             continue
         flat = " ".join(words)
         for d, t in texts:
-            if len(words) <= 3:
+            if len(words) <= 3 and len(flat) < 20:
                 if f" {flat} " in f" {t} ":
                     out.add((d, item))
             elif len(t) >= len(flat) * (1 - edits) and distance(flat, t) <= int(len(flat) * edits):

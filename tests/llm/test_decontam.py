@@ -92,6 +92,13 @@ def test_short_items_must_occur_exactly():
     assert found("x one two three y") == {3} and found("one two tree") == set()
 
 
+def test_scripts_without_spaces():
+    long = "机器学习模型在大规模语料上的训练需要大量的计算资源和数据"
+    index = decontam.Index([(1, long), (2, "计算资源")], 0.1)
+    found = lambda t: {m[0] for m in index.search([t])[0]}
+    assert found(f"前言{long}后记") == {1, 2} and found(f"前言{long.replace('语料', '语库')}后记") == {1, 2} and found("需要计算资源的") == {2} and found("别的文字") == set()
+
+
 def test_every_place_is_reported():
     text = "the quick brown fox jumps over the lazy dog and runs away"
     found = decontam.Index([(5, text)], 0.1).search([f"a b {text} c d {text.upper()} e"])[0]
