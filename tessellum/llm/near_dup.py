@@ -11,9 +11,9 @@ of random sets in a test.) Pairs under a key whose 4-bit slots differ in too man
 places are left out: 17 of 32, five deviations beyond a similarity of 0.8. The rest
 join clusters, whose full sets are compared exactly.
 
-Equal sets are one class from the start. Hot keys and clusters are dealt out over
-pairs of blocks (``_similar``), and neither pairs nor links are ever all listed: each
-task emits a spanning forest.
+Equal sets are one class from the start. Classes that share a hot key become candidates
+by a star, large clusters are verified against pivots before pairs (``exact_links``), and
+neither pairs nor links are ever all listed: each task emits a spanning forest.
 
 Edge cases: a null, empty or blank text has an empty set and is linked with nothing;
 a text of fewer words than a shingle is one shingle; rows that share a ``doc_id`` are
@@ -144,26 +144,32 @@ def candidates(reps: DataFrame) -> DataFrame:
             two = starts[sizes == 2]
             near = slot_errors(s1[two], s1[two + 1]) + slot_errors(s2[two], s2[two + 1]) <= FILTER_ERRORS
             out = list(zip(ids[two[near]].tolist(), ids[two[near] + 1].tolist(), strict=True))
-            blk, bi, bj = blocks_of(table)
             for a, m in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
                 z = a + m
                 ok = np.empty((m, m), bool)
                 for x in range(a, z, 128):  # a few rows at a time: what is compared takes many times the memory of the answer
                     y = min(z, x + 128)
                     ok[x - a : y - a] = slot_errors(s1[x:y, None], s1[None, a:z]) + slot_errors(s2[x:y, None], s2[None, a:z]) <= FILTER_ERRORS
-                if bi[a] != bj[a]:
-                    ok &= blk[a:z, None] != blk[None, a:z]
-                out += edges_of(np.triu(ok, 1) if bi[a] == bj[a] else ok, ids[a:z])
+                out += edges_of(np.triu(ok, 1), ids[a:z])
             if out:
                 x = np.array(sorted({(min(p), max(p)) for p in out if p[0] != p[1]}), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
 
     probes = reps.select("id", "sig").mapInArrow(tidied(probe), "key bigint, id bigint, s1 bigint, s2 bigint")
-    return grouped(in_blocks(probes, "key", 4 * BLOCK), "key").mapInArrow(tidied(lambda batches: forest(pairs(batches))), "a bigint, b bigint")
+    # A sixteenth of the classes tells hot keys. All that share one become candidates of each other, by a star: a superset, for which no pairs are compared.
+    seen = probes.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(16)) == 0).groupBy("key").agg((F.count("*") * 16).alias("members"))
+    hot = stored(seen.where(F.col("members") > 4 * BLOCK).select("key"), "hot-keys")
+    if hot.isEmpty():
+        return grouped(probes, "key").mapInArrow(tidied(lambda batches: forest(pairs(batches))), "a bigint, b bigint")
+    # Merge joins: the hot keys may grow with the documents.
+    rest = probes.join(hot.hint("merge"), "key", "left_anti")
+    many = probes.select("key", "id").join(hot.hint("merge"), "key")
+    stars = many.join(many.groupBy("key").agg(F.min("id").alias("a")), "key").where("a <> id").select("a", F.col("id").alias("b"))
+    return grouped(rest, "key").mapInArrow(tidied(lambda batches: forest(pairs(batches))), "a bigint, b bigint").unionByName(stars)
 
 
-def exact_links(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Spanning forests ``a, b`` of the links within each cluster. ``sets``: ``cluster, id, tokens``, stored or cheap to make."""
+def verified(dealt: DataFrame, num: int, den: int) -> DataFrame:
+    """Spanning forests ``a, b`` of the links within each group of ``dealt``; of two blocks only pairs across count."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts, sizes in each_group(batches, "cluster"):
@@ -179,7 +185,66 @@ def exact_links(sets: DataFrame, num: int, den: int) -> DataFrame:
                 x = np.array(out, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
 
-    return grouped(in_blocks(sets, "cluster", BLOCK), "cluster").mapInArrow(tidied(lambda batches: forest(verify(batches))), "a bigint, b bigint")
+    return grouped(dealt, "cluster").mapInArrow(tidied(lambda batches: forest(verify(batches))), "a bigint, b bigint")
+
+
+LINKED, NEAR, FAR = 0, 1, 2
+
+
+def by_pivot(rest: DataFrame, num: int, den: int) -> DataFrame:
+    """``cluster, id, tokens, pivot, kind`` of every member against the first of its cluster, stored."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                kinds = []
+                for x, y in zip(b.column("tokens"), b.column("ptokens"), strict=True):
+                    x, y = x.values.to_numpy(), y.values.to_numpy()
+                    both = np.intersect1d(x, y, assume_unique=True).size
+                    union = len(x) + len(y) - both
+                    kinds.append(LINKED if den * both >= num * union and both else NEAR if den * both >= (2 * num - den) * union else FAR)
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("cluster", "id", "tokens", "pivot")), pa.array(kinds, pa.int32())], names=["cluster", "id", "tokens", "pivot", "kind"])
+
+    first = rest.groupBy("cluster").agg(F.min("id").alias("id"))
+    pivots = rest.join(first, ["cluster", "id"]).select("cluster", F.col("id").alias("pivot"), F.col("tokens").alias("ptokens"))
+    # The members of a hot cluster are split among tasks, each of which gets the one pivot.
+    return stored(rest.join(pivots.hint("merge"), "cluster").select("cluster", "id", "tokens", "pivot", "ptokens").mapInArrow(tidied(judge), "cluster bigint, id bigint, tokens array<bigint>, pivot bigint, kind int"), "judged")
+
+
+def across(judged: DataFrame) -> DataFrame:
+    """The near members of each cluster and the linked ones in blocks, so that each near one meets each linked one once."""
+    sizes = judged.groupBy("cluster").agg(*(F.ceil(F.count(F.when(F.col("kind") == k, 1)) / BLOCK).cast("int").alias(n) for k, n in ((NEAR, "nn"), (LINKED, "nl")))).where("nn > 0 and nl > 0")
+    both = judged.where(F.col("kind") != FAR).join(sizes.hint("merge"), "cluster")
+    own = lambda n: F.pmod(F.xxhash64("id", F.lit(3)), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    near = F.col("kind") == NEAR
+    dealt = both.select("cluster", "id", "tokens", F.col("kind").alias("blk"), F.explode(F.when(near, F.transform(every("nl"), lambda j: F.struct(own("nn").alias("bi"), (-1 - j).alias("bj")))).otherwise(F.transform(every("nn"), lambda i: F.struct(i.alias("bi"), (-1 - own("nl")).alias("bj"))))).alias("at"))
+    return dealt.select("cluster", "id", "tokens", "at.bi", "at.bj", "blk")
+
+
+def exact_links(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Spanning forests ``a, b`` of the links within each cluster. ``sets``: ``cluster, id, tokens``, stored.
+
+    In a large cluster all members are first held against one of them, which takes as
+    many comparisons as it has members. The distance of Jaccard is a metric: what is
+    further from that pivot than twice the threshold is linked with none that is linked
+    with the pivot. So the linked ones, most of a group of copies, meet neither each other
+    (they are connected) nor the far ones, but only the near ones. Two rounds of that,
+    then what is left meets in pairs of blocks.
+    """
+    sizes = sets.groupBy("cluster").agg(F.count("*").alias("n"))
+    large = stored(sizes.where(F.col("n") > 2 * BLOCK).select("cluster"), "large-clusters")
+    if large.isEmpty():
+        return verified(in_blocks(sets, "cluster", BLOCK), num, den)
+    edges = verified(sets.join(large.hint("merge"), "cluster", "left_anti"), num, den)
+    rest = sets.join(large.hint("merge"), "cluster", "left_semi")
+    for _ in range(2):
+        judged = by_pivot(rest, num, den)
+        edges = edges.unionByName(judged.where((F.col("kind") == LINKED) & (F.col("id") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("id").alias("b")))
+        edges = edges.unionByName(verified(across(judged), num, den))
+        rest = judged.where(F.col("kind") != LINKED).select("cluster", "id", "tokens")
+    return edges.unionByName(verified(in_blocks(rest, "cluster", BLOCK), num, den))
 
 
 def shingle_sets(docs: DataFrame, clusters: DataFrame, width: int) -> DataFrame:
