@@ -1,3 +1,6 @@
+import re
+
+import pyarrow.parquet as pq
 import pytest
 
 from tessellum.llm import html_text
@@ -93,6 +96,28 @@ def test_smoothing_and_threshold():
     assert html_text.threshold([2.0, 2.0]) == 2.0
 
 
+def raw_pages():
+    return [r["html"] or "" for r in pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"]).to_pylist()]
+
+
+def test_the_threshold_chooses_content_on_real_pages(monkeypatch):
+    pages = raw_pages()
+    texts = [html_text.extract(p) for p in pages]
+    monkeypatch.setattr(html_text, "threshold", lambda values: 1e9)
+    assert sum(html_text.extract(p) == t for p, t in zip(pages, texts, strict=True)) == 0
+
+
+def test_pages_without_semantic_elements_give_the_same_text():
+    pages = raw_pages()
+    bare = [re.sub(r"<(/?)(?:article|main)\b[^>]*>", r"<\1div>", p) for p in pages]
+    assert sum(html_text.extract(b) == html_text.extract(p) for b, p in zip(bare, pages, strict=True)) >= 0.97 * len(pages)
+
+
+def test_a_short_second_article_stays():
+    page = "<nav>a b c</nav><article><h1>One</h1><p>" + "first article words go on and on. " * 20 + "</p></article><article><h1>Two</h1><p>Short second article of a few words.</p></article><footer>foot</footer>"
+    assert html_text.extract(page).split("\n\n")[-2:] == ["Two", "Short second article of a few words."]
+
+
 def test_query(spark, sf_dir):
     pages = {r["page_id"]: r for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     got = QUERIES["op1_main_text"](spark, sf_dir).collect()
