@@ -292,7 +292,8 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, shard_tokens: int
         if ids:
             yield shard()
 
-    dealt = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # The beginning of the text parts rows that share an id, or have none, without changing their order.
+    dealt = docs.select("doc_id", "text").repartitionByRange("doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     path = shared_dir(docs.sparkSession, "token-shards")
     dealt.mapInArrow(tidied(run), SHARDS).write.option("compression", "uncompressed").parquet(path)
     return path
