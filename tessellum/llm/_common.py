@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
