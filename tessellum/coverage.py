@@ -15,6 +15,7 @@ from .functions import ids, normalise, tokens
 from .operators import chunker, dependency, incremental, ranking
 from .queries import _EDGE_SQL, _edges, _turns, query, table
 from .sources import html, publish
+from .storage import spread, stored
 
 _S = r"[\t\n\x0b\f\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _M = r"""[`"''()\[\]{}<>:;,.!?，。；：、]"""
@@ -41,7 +42,7 @@ def _tokens_sql(source: str, name: str = "tok") -> str:
     SELECT src.k AS doc_id, array_to_string(coalesce(l, []), ' ') AS tokens, CAST(coalesce(n, 0) AS INTEGER) AS token_size FROM src LEFT JOIN l USING (k) LEFT JOIN n USING (k)
 """)
 def technical_tokens(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     return d.select("doc_id", F.array_join(tokens.tokens(F.col("text")), " ").alias("tokens"), tokens.token_size(F.col("text")).alias("token_size"))
 
 
@@ -56,9 +57,9 @@ def index_terms(spark, sf_dir):
     """Term statistics of the keyword index over technical tokens of text, summary, keywords and tags."""
     from .operators import bm25
 
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     text = tokens.index_text(F.col("text"), F.concat(F.lit("About "), "source"), F.array("source", "lang"), F.array(F.concat(F.lit("tag-"), "lang")))
-    index = bm25.build(d.select(F.col("doc_id").alias("node_id"), tokens.tokens(text).alias("tokens"), F.col("doc_id").alias("corpus_pos")))
+    index = bm25.build(stored(d.select(F.col("doc_id").alias("node_id"), tokens.tokens(text).alias("tokens"), F.col("doc_id").alias("corpus_pos")), "keyword-tokens"))
     return index.term_stats.select("token", "df", F.round("idf", 9).alias("idf"))
 
 
@@ -91,7 +92,7 @@ def markdown_chunks(spark, sf_dir):
     """Documents as Markdown: paragraphs of 40 words, three to an H3 part, three parts to an H2 section."""
     words = F.split(F.regexp_replace("text", r"\s+", " "), " ")
     text = F.col("text").isNotNull()
-    cut = table(spark, sf_dir, "documents").where(text).select("doc_id", words.alias("w")).withColumn("n", F.ceil(F.size("w") / _PARAGRAPH).cast("int"))
+    cut = spread(table(spark, sf_dir, "documents")).where(text).select("doc_id", words.alias("w")).withColumn("n", F.ceil(F.size("w") / _PARAGRAPH).cast("int"))
     body = lambda i: F.concat(F.lit("Text "), F.array_join(F.slice("w", i * _PARAGRAPH + 1, _PARAGRAPH), " "))
     part = lambda i: F.concat(F.lit("### Part "), F.floor(i / _PER_PART).cast("string"), F.lit("\n\n"))
     sec = lambda i: F.concat(F.lit("## Section "), F.floor(i / (3 * _PER_PART)).cast("string"), F.lit("\n\n"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .functions import ids, normalise, scores, tokens
 from .operators import answer, bm25, dependency, incremental, neighbours, ranking, vector
 from .sources import html
+from .storage import spread, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,8 +36,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _keywords(spark: SparkSession, sf_dir: str) -> bm25.KeywordIndex:
-    docs = table(spark, sf_dir, "documents")
-    return bm25.build(docs.select(F.col("doc_id").alias("node_id"), tokens.words(F.col("text")).alias("tokens"), F.col("doc_id").alias("corpus_pos")))
+    """The tables of the index all come from the tokens, which are cut once and written."""
+    docs = spread(table(spark, sf_dir, "documents"))
+    return bm25.build(stored(docs.select(F.col("doc_id").alias("node_id"), tokens.words(F.col("text")).alias("tokens"), F.col("doc_id").alias("corpus_pos")), "keyword-tokens"))
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,7 +303,7 @@ def extractive_answer(spark, sf_dir):
 
 @query()
 def html_to_markdown(spark, sf_dir):
-    return html.markdown_of(table(spark, sf_dir, "pages"), "html", ["page_id", "url"])
+    return html.markdown_of(spread(table(spark, sf_dir, "pages")), "html", ["page_id", "url"])
 
 
 from . import coverage  # noqa: E402, F401  (registers the rest)

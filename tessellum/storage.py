@@ -45,3 +45,9 @@ def discard(*frames: DataFrame | None) -> None:
         path = getattr(df, "_stored_at", None)
         if path:
             delete(df.sparkSession, path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores where its files split into fewer parts than there are cores, so that work on each row isn't left to one of them; large tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
