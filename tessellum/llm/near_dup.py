@@ -192,7 +192,7 @@ LINKED, NEAR, FAR = 0, 1, 2
 
 
 def by_pivot(rest: DataFrame, num: int, den: int) -> DataFrame:
-    """``cluster, id, tokens, pivot, kind`` of every member against the first of its cluster, stored."""
+    """``cluster, id, tokens, nb, pivot, kind`` of every member against the first of its cluster, stored. ``rest`` has ``nb``, the blocks of the cluster."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -204,12 +204,14 @@ def by_pivot(rest: DataFrame, num: int, den: int) -> DataFrame:
                     both = np.intersect1d(x, y, assume_unique=True).size
                     union = len(x) + len(y) - both
                     kinds.append(LINKED if den * both >= num * union and both else NEAR if den * both >= (2 * num - den) * union else FAR)
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("cluster", "id", "tokens", "pivot")), pa.array(kinds, pa.int32())], names=["cluster", "id", "tokens", "pivot", "kind"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("cluster", "id", "tokens", "nb", "pivot")), pa.array(kinds, pa.int32())], names=["cluster", "id", "tokens", "nb", "pivot", "kind"])
 
+    # Members are salted by as many parts as their cluster has blocks, and its one pivot goes to each part.
     first = rest.groupBy("cluster").agg(F.min("id").alias("id"))
-    pivots = rest.join(first, ["cluster", "id"]).select("cluster", F.col("id").alias("pivot"), F.col("tokens").alias("ptokens"))
-    # The members of a hot cluster are split among tasks, each of which gets the one pivot.
-    return stored(rest.join(pivots.hint("merge"), "cluster").select("cluster", "id", "tokens", "pivot", "ptokens").mapInArrow(tidied(judge), "cluster bigint, id bigint, tokens array<bigint>, pivot bigint, kind int"), "judged")
+    pivots = rest.join(first, ["cluster", "id"]).select("cluster", F.col("id").alias("pivot"), F.col("tokens").alias("ptokens"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("salt"))
+    salted = rest.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(11)), F.col("nb")).cast("int"))
+    met = salted.join(pivots.hint("merge"), ["cluster", "salt"]).select("cluster", "id", "tokens", "nb", "pivot", "ptokens")
+    return stored(met.mapInArrow(tidied(judge), "cluster bigint, id bigint, tokens array<bigint>, nb int, pivot bigint, kind int"), "judged")
 
 
 def across(judged: DataFrame) -> DataFrame:
@@ -234,17 +236,17 @@ def exact_links(sets: DataFrame, num: int, den: int) -> DataFrame:
     then what is left meets in pairs of blocks.
     """
     sizes = sets.groupBy("cluster").agg(F.count("*").alias("n"))
-    large = stored(sizes.where(F.col("n") > 2 * BLOCK).select("cluster"), "large-clusters")
+    large = stored(sizes.where(F.col("n") > 2 * BLOCK).select("cluster", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb")), "large-clusters")
     if large.isEmpty():
         return verified(in_blocks(sets, "cluster", BLOCK), num, den)
     edges = verified(sets.join(large.hint("merge"), "cluster", "left_anti"), num, den)
-    rest = sets.join(large.hint("merge"), "cluster", "left_semi")
+    rest = sets.join(large.hint("merge"), "cluster").select("cluster", "id", "tokens", "nb")
     for _ in range(2):
         judged = by_pivot(rest, num, den)
         edges = edges.unionByName(judged.where((F.col("kind") == LINKED) & (F.col("id") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("id").alias("b")))
         edges = edges.unionByName(verified(across(judged), num, den))
-        rest = judged.where(F.col("kind") != LINKED).select("cluster", "id", "tokens")
-    return edges.unionByName(verified(in_blocks(rest, "cluster", BLOCK), num, den))
+        rest = judged.where(F.col("kind") != LINKED).select("cluster", "id", "tokens", "nb")
+    return edges.unionByName(verified(in_blocks(rest.drop("nb"), "cluster", BLOCK), num, den))
 
 
 def shingle_sets(docs: DataFrame, clusters: DataFrame, width: int) -> DataFrame:
