@@ -10,7 +10,9 @@ inner products of the original vectors.
 
 That number is fixed and so the recall depends on the data: it stays where neighbours
 are much nearer than the rest, and falls with the size of the table where they are not
-(README has figures). ``curves`` and ``block`` raise it.
+(README has figures). ``curves`` and ``block`` raise it. Curves keep together what is
+close in distance: where norms differ widely, the largest inner products may be those of
+long vectors elsewhere, which are found less surely.
 
 Edge cases: vectors that are null, zero, of another length than most (of the shorter, if
 two lengths are as frequent), or hold null or non-finite components take no part; null

@@ -79,6 +79,7 @@ def test_many_ranges_and_runs_of_windows(spark):
     """Ranges far smaller than the table, each in several runs: every query still gets its neighbours."""
     rng = np.random.default_rng(4)
     x = rng.normal(size=(200, 8)).repeat(15, axis=0) + 0.02 * rng.normal(size=(3000, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)  # else long vectors elsewhere would be nearer than those beside a query
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
     want, got = brute(np.arange(3000), x, 10), {}
     for r in hilbert.search(rows, k=10, curves=8, dims=4, bits=4, block=16, range_rows=1000).collect():
