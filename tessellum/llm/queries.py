@@ -45,8 +45,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _held_out(table(spark, sf_dir, "documents"), 5, 0)
-    learned = docs.where("not held_out")
-    model = toxicity.fit(*toxicity.sample(learned, table(spark, sf_dir, "labels"), bound=8000), toxicity.trigrams(learned))
+    model = toxicity.learn(docs.where("not held_out"), table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model, keep=["held_out"])
 
 

@@ -94,6 +94,32 @@ def test_edge_cases(spark, messy):
     assert toxicity.sample(messy, labels.limit(0), bound=100) == ([], [])
 
 
+def test_learns_from_every_labelled_row_and_every_word(spark):
+    """More labelled rows than the 8,000 that a sample once held; unlabelled texts count for the words."""
+    rng = np.random.default_rng(5)
+    data = [(i, " ".join([*rng.choice(CLEAN, 4), *([f"bad{'abcdefghij'[i % 10]}word"] if i % 6 == 0 else [])]), int(i % 6 == 0)) for i in range(9000)]
+    extra = [(10_000 + i, "unlabelled quokkas") for i in range(5)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in data] + extra, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in data], "doc_id bigint, toxic int")
+    model = toxicity.learn(docs, labels)
+    words = Counter(w for _, t in [(i, t) for i, t, _ in data] + extra for w in regex.findall(r"\p{L}+", t))
+    assert len(model.chars.words.keys) == len(words) and "quokkas" in model.chars.words
+    assert all(abs(model.chars.words.get(w) - np.log(n / (sum(words.values()) + 1))) < 1e-9 for w, n in words.items())
+    fifth = {r["doc_id"]: r["f"] for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(5)).alias("f")).collect()}
+    rows = [(set(t.split()), y) for i, t, y in data if fifth[i] != 4]
+    rate = sum(y for _, y in rows) / len(rows)
+    for c in "acegi":
+        k = sum(f"bad{c}word" in t for t, _ in rows)
+        if k:
+            p = (k + toxicity.SHRINK * rate) / (k + toxicity.SHRINK)
+            assert abs(model.evidence.get(f"bad{c}word$") - np.log(p / (1 - p)) + np.log(rate / (1 - rate))) < 1e-9
+    again = toxicity.learn(docs.repartition(7), labels.repartition(3))
+    assert again.weights.tolist() == model.weights.tolist() and again.evidence.keys == model.evidence.keys
+    got = toxicity.score(docs, model).join(labels, "doc_id").collect()
+    assert all(r["predicted"] == r["toxic"] for r in got)
+    assert toxicity.learn(docs, labels.limit(0)).weights.size == 0 == toxicity.learn(docs.limit(0), labels).weights.size
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     got = QUERIES["op7_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id").collect()
