@@ -55,7 +55,7 @@ class WaveletMatrix:
             packed = np.packbits(ones, bitorder="little")
             planes.append(packed)
             samples.append(cls._sample(packed))
-            low, high = seq[~ones], seq[ones]
+            low, high = seq.take(np.flatnonzero(~ones)), seq.take(np.flatnonzero(ones))  # places, not masks: bits like a coin's cost a mask four times as much
             zeros.append(len(low))
             seq = np.concatenate([low, high])
         doc_ids = np.zeros(0, np.int64) if doc_ids is None else np.asarray(doc_ids, np.int64)
@@ -176,8 +176,8 @@ class WaveletMatrix:
         for level in range(self.bits - 1, -1, -1):
             ones = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             above = np.empty(self.n, kind)
-            above[~ones] = value[: self.zeros[level]]
-            above[ones] = value[self.zeros[level] :] | kind(1 << (self.bits - 1 - level))
+            above[np.flatnonzero(~ones)] = value[: self.zeros[level]]
+            above[np.flatnonzero(ones)] = value[self.zeros[level] :] | kind(1 << (self.bits - 1 - level))
             value = above
         return value
 

@@ -1,3 +1,4 @@
+import time
 import zlib
 
 import numpy as np
@@ -82,3 +83,26 @@ def test_encoder_special_strings(library):
     enc = wavelet.encoder(PATH)
     for text in ("a <|endoftext|> b", "<|startoftext|>", "x<|endoftext|>y"):
         assert np.frombuffer(enc.encode([text])[0], enc.kind).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_build_and_decode_cost_less_than_masks():
+    """Of bits like a coin's, a level by places takes well below the time of one by masks (medians of 5 runs in turns)."""
+    ids = np.random.default_rng(3).integers(0, 1 << 16, 400_000).astype(np.uint16)
+
+    def by_masks():
+        seq = ids
+        for level in range(15, -1, -1):
+            ones = (seq & np.uint16(1 << level)) != 0
+            seq = np.concatenate([seq[~ones], seq[ones]])
+        return seq
+
+    def timed(f):
+        began = time.process_time()
+        f()
+        return time.process_time() - began
+
+    whole = WaveletMatrix.build(ids, 16)
+    assert (whole.decode() == ids).all()
+    took = [(timed(by_masks), timed(lambda: WaveletMatrix.build(ids, 16)), timed(whole.decode)) for _ in range(5)]
+    masks, build, decode = np.median(took, axis=0)
+    assert build < 0.75 * masks and decode < 0.75 * masks
