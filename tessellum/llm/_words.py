@@ -37,10 +37,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def _segment(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(buf)
     up, down = _fixed_powers() if n <= SEGMENT else _powers(n)
-    word = np.zeros(n + 2, np.int8)
-    word[1:-1] = ~_SPACE[buf]
-    step = np.diff(word)
-    starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    word = np.zeros(n + 2, bool)
+    word[1:-1] = (buf != 32) & ((buf < 9) | (buf > 13))
+    edges = np.flatnonzero(word[1:] != word[:-1])
+    starts, ends = edges[::2], edges[1::2]
     v = _CODES[buf]
     v *= up[:n]
     sums = np.zeros(n + 1, np.uint64)

@@ -198,11 +198,17 @@ def meet(posts: dict[str, np.ndarray], starts: np.ndarray, sizes: np.ndarray, bl
     ids, n, pos, bits, bits2 = (posts[c] for c in ("id", "n", "pos", "bits", "bits2"))
     n, pos = n.astype(np.int64), pos.astype(np.int64)
 
+    rest = n - pos
+
+    def long_enough(x, y):
+        """The filters of length and position: what both have left, if this is their first token in common, reaches the least overlap."""
+        return np.minimum(rest[x], rest[y]) * (DEN + NUM) >= (n[x] + n[y]) * NUM
+
     def near(x, y):
-        least = least_overlap(n[x], n[y])
-        most = np.minimum(n[x] - pos[x], n[y] - pos[y])  # if this is their first token in common
+        """The filter of bitmaps."""
+        a, b = n[x], n[y]
         differ = np.bitwise_count(bits[x] ^ bits[y]).astype(np.int64) + np.bitwise_count(bits2[x] ^ bits2[y])
-        return (np.minimum(n[x], n[y]) >= least) & (most >= least) & (n[x] + n[y] - differ >= 2 * least)
+        return a + b - differ >= 2 * least_overlap(a, b)
 
     out: list[tuple[int, int]] = []
     place = np.arange(len(ids)) - np.repeat(starts, sizes)
@@ -212,13 +218,16 @@ def meet(posts: dict[str, np.ndarray], starts: np.ndarray, sizes: np.ndarray, bl
         at = at[left[at] > d]
         if not len(at):
             break
-        ok = near(at, at + d) & (~across[at] | (blk[at] != blk[at + d]))
-        out += list(zip(ids[at[ok]].tolist(), ids[at[ok] + d].tolist(), strict=True))
+        x = at[long_enough(at, at + d)]  # few of all pairs
+        x = x[near(x, x + d)]
+        x = x[~across[x] | (blk[x] != blk[x + d])]
+        out += list(zip(ids[x].tolist(), ids[x + d].tolist(), strict=True))
     for a, m in zip(starts[sizes > 64].tolist(), sizes[sizes > 64].tolist(), strict=True):
         at, z = np.arange(a, a + m), a + m
         ok = np.empty((m, m), bool)
         for x in range(a, z, 64):  # a few rows at a time: what is compared takes many times the memory of the answer
-            ok[x - a : x - a + 64] = near(at[x - a : x - a + 64, None], at[None, :])
+            some = at[x - a : x - a + 64, None], at[None, :]
+            ok[x - a : x - a + 64] = long_enough(*some) & near(*some)
         if across[a]:
             ok &= blk[at][:, None] != blk[at][None, :]
         out += edges_of(np.triu(ok, 1), ids[at])
@@ -270,15 +279,15 @@ def candidates(classes: DataFrame) -> DataFrame:
             raw = table.column("posts").to_pylist()
             for a, m in zip(starts.tolist(), sizes.tolist(), strict=True):
                 posts = np.frombuffer(b"".join(raw[a : a + m]), POST)
-                posts = posts[np.argsort(posts["key"], kind="stable")]
-                new = np.concatenate([[True], posts["key"][1:] != posts["key"][:-1]])
-                first = np.flatnonzero(new)
+                key = np.ascontiguousarray(posts["key"])
+                order = np.argsort(key, kind="stable")
+                key = key[order]
+                first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
                 size = np.diff(np.append(first, len(posts)))
-                several = np.repeat(size > 1, size)
-                posts, size = posts[several], size[size > 1]
-                if len(posts):
-                    none = np.zeros(len(posts), np.int8)
-                    if (found := meet({c: np.ascontiguousarray(posts[c]) for c in POST.names}, np.cumsum(size) - size, size, none, none.view(bool))) is not None:
+                order, size = order[np.repeat(size > 1, size)], size[size > 1]
+                if len(order):
+                    none = np.zeros(len(order), np.int8)
+                    if (found := meet({c: posts[c][order] for c in POST.names}, np.cumsum(size) - size, size, none, none.view(bool))) is not None:
                         yield found
 
     def hot_posts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

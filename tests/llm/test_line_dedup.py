@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import brute
+import numpy as np
 
 from tessellum.llm import line_dedup
 from tessellum.llm.queries import QUERIES
@@ -69,3 +70,27 @@ def test_repeated_rows(spark):
     docs = [(7, text), (7, text), (7, text), (8, "something else that is long enough"), (9, "one two three four five"), (7, "a text of its own")]
     got = sorted((r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in line_dedup.dedup(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)).collect())
     assert got == [(7, "", 3, 2), (7, "", 3, 2), (7, "a text of its own", 1, 0), (7, text, 3, 0), (8, docs[3][1], 1, 0), (9, "", 1, 1)]
+
+
+def test_bitmaps_of_likely_pairs_only(monkeypatch):
+    """Lengths and positions rule out most pairs of a group first; the edges are those of all filters on every pair."""
+    rng = np.random.default_rng(4)
+    m = 60
+    n, pos = rng.integers(4, 80, m), np.zeros(m, np.int64)
+    bits, bits2 = (rng.integers(0, 4, m).astype(np.uint64) for _ in range(2))
+    whole = line_dedup.least_overlap
+    asked = []
+    monkeypatch.setattr(line_dedup, "least_overlap", lambda a, b: (asked.append(np.size(a)), whole(a, b))[1])
+    none = np.zeros(m, np.int8)
+    found = line_dedup.meet({"id": np.arange(m), "n": n, "pos": pos, "bits": bits, "bits2": bits2}, np.array([0]), np.array([m]), none, none.view(bool))
+    want, short = set(), 0
+    for i in range(m):
+        for j in range(i + 1, m):
+            least = int(whole(n[i], n[j]))
+            differ = int(bits[i] ^ bits[j]).bit_count() + int(bits2[i] ^ bits2[j]).bit_count()
+            if min(n[i], n[j]) >= least:
+                short += 1
+                if n[i] + n[j] - differ >= 2 * least:
+                    want.add((i, j))
+    assert set(zip(found.column("a").to_pylist(), found.column("b").to_pylist(), strict=True)) == want and want
+    assert sum(asked) == short < m * (m - 1) / 4
