@@ -19,6 +19,7 @@ Signs alone count as a word only if they spell one that the labelled texts hold.
 from __future__ import annotations
 
 import math
+import re
 from array import array
 from bisect import bisect_left
 from collections import Counter, defaultdict
@@ -34,11 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import Memo, discard, map_batches, stored
-from .langid import _Rows
 
 _LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l"}
 _STRIP = "\"'`.,;:?()[]{}<>«»“”‘’…-_*#~=/\\&%^"
 _REPEAT = regex.compile(r"(\p{L})\1\1")
+_THRICE = re.compile(r"(.)\1\1")  # tells the same of letters alone, sooner
 _APART = regex.compile(r"^(?:[\p{L}\d@$!|+][.\-_*~]+){2,}[\p{L}\d@$!|+]$")
 _MARKS = regex.compile(r"[.\-_*~]+")
 _WORDS = regex.compile(r"\p{L}+")
@@ -115,13 +116,18 @@ class CharModel:
             n = sum(words.values()) + 1.0
             words = {w: math.log(k / n) for w, k in words.items() if k >= KNOWN}
         self.words = words
+        self.logs = Memo(self._log, 100_000)
 
     def log(self, before: str, c: str) -> float:
+        return self.logs[before + c]
+
+    def _log(self, trigram: str) -> float:
+        before, c = trigram[:2], trigram[2]
         p = 0.01 * (self.uni[c] + 0.01) / self.total
         if n := self.bi_of[before[1]]:
             p += 0.24 * self.bi[before[1] + c] / n
         if n := self.tri_of[before]:
-            p += 0.75 * self.tri.get(before + c, 0) / n
+            p += 0.75 * self.tri.get(trigram, 0) / n
         return math.log(p)
 
     def word(self, word: str) -> float:
@@ -129,10 +135,11 @@ class CharModel:
         if (known := self.words.get(word)) is not None:
             return known
         p = f"^^{word}$"
-        return sum(self.log(p[i - 2 : i], p[i]) for i in range(2, len(p))) - 8.0
+        return sum([self.logs[p[i : i + 3]] for i in range(len(p) - 2)]) - 8.0
 
     def decode(self, lattice: list[list[str]]) -> str:
         """The likeliest path through alternatives, each of which is a string of one or more characters."""
+        logs = self.logs
         states: dict[str, tuple[float, str]] = {"^^": (0.0, "")}
         for options in lattice:
             after: dict[str, tuple[float, str]] = {}
@@ -140,8 +147,9 @@ class CharModel:
                 for option in options:
                     s, b = score, last
                     for c in option:
-                        s += self.log(b, c)
-                        b = b[1] + c
+                        b += c
+                        s += logs[b]
+                        b = b[1:]
                     if b not in after or s > after[b][0]:
                         after[b] = (s, text + option)
             states = after
@@ -156,9 +164,9 @@ class Model:
 
     def restore(self, chunk: str) -> list[str]:
         """Words behind one lower-case run of non-space."""
-        if chunk.isalpha() and not _REPEAT.search(chunk):
-            return [chunk]
         core = chunk.strip(_STRIP)
+        if core.isalpha() and not _THRICE.search(core):
+            return [core]
         if _APART.match(core):
             return self.join(list(_MARKS.sub("", core)))
         if 2 < len(core) < 25 and all(c in _LEET for c in core):  # signs alone are a number, unless they spell a word that is known
@@ -166,7 +174,7 @@ class Model:
             return [word] if word in self.chars.words else []
         if core and not core.isalpha() and any(c.isalpha() for c in core) and any(c in _LEET for c in core):
             ends = {core, core.lstrip("!|+"), core.rstrip("!|+"), core.strip("!|+")} - {""}  # signs at an end are letters or punctuation
-            found = [self.chars.decode([list(_LEET[c]) if c in _LEET else [c] for c in x]) for x in sorted(ends)]
+            found = [x if x.isalpha() else self.chars.decode([list(_LEET[c]) if c in _LEET else [c] for c in x]) for x in sorted(ends)]
             core = max(found, key=self.chars.word)
         out = []
         for w in _WORDS.findall(core):
@@ -192,48 +200,48 @@ class Model:
             out.append(w)
         return out[::-1]
 
-    def of_word(self, word: str) -> float:
-        return max(map(self.evidence.get, _units(word), repeat(0.0)))
-
 
 def _units(word: str) -> list[str]:
     return [f"{word}$", *(word[:k] for k in PREFIXES if len(word) >= k)]
 
 
 class Scorer:
+    """Scores texts; the evidence of runs of non-space is cached, and that of the beginnings of their words."""
+
     def __init__(self, model: Model, memo: int = 300_000):
-        self.model, self.memo = model, memo
-        self.table = np.zeros(1024)
-        self.single = np.zeros(1024, bool)
-        self.used = 0
-        self.known = _Rows(self._row)
-
-    def _row(self, chunk: str) -> int:
-        if self.used == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.single = np.concatenate([self.single, np.zeros_like(self.single)])
-        self.table[self.used] = max(map(self.model.of_word, self.model.restore(chunk)), default=0.0)
+        self.model = model
+        self.known = Memo(self._chunk, memo)
+        self.begins = Memo(self._begin, memo // 2)
+
+    def _begin(self, begin: str) -> float:
+        return max(map(self.model.evidence.get, [begin[:k] for k in PREFIXES if len(begin) >= k], repeat(0.0)))
+
+    def of_word(self, word: str) -> float:
+        whole = self.model.evidence.get(f"{word}$", 0.0)
+        return whole if len(word) < PREFIXES[0] else max(whole, self.begins[word[: PREFIXES[-1]]])
+
+    def _chunk(self, chunk: str) -> float:
+        """The greatest evidence of a chunk's words, with the sign of minus where it is one letter."""
         core = chunk.strip(_STRIP)
-        self.single[self.used] = len(core) == 1 and (core.isalpha() or core in _LEET)
-        self.used += 1
-        return self.used - 1
+        if core.isalpha() and not _THRICE.search(core):
+            value = self.of_word(core)
+        else:
+            value = max(map(self.of_word, self.model.restore(chunk)), default=0.0)
+        return -value if len(core) == 1 and (core.isalpha() or core in _LEET) else value
 
     def features(self, text: str | None) -> np.ndarray:
-        if len(self.known) > self.memo:
-            self.known.clear()
-            self.used = 0
         chunks = text.lower().split() if text else []
         if not chunks:
             return np.zeros(3)
-        ids = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
-        values = self.table[ids]
-        alone = self.single[ids]
+        values = np.fromiter(map(self.known.__getitem__, chunks), np.float64, len(chunks))
+        alone = np.signbit(values)
+        values = np.abs(values)
         if alone.sum() > 2:
             edges = np.flatnonzero(np.diff(np.concatenate([[0], alone.view(np.int8), [0]])))
             for a, z in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
                 if z - a > 2:
                     words = self.model.join([c.strip(_STRIP) for c in chunks[a:z]])
-                    values = np.append(values, [self.model.of_word(w) for w in words])
+                    values = np.append(values, [self.of_word(w) for w in words])
         values = values[values > LEAST]
         top = np.sort(np.append(values, [0.0, 0.0]))[::-1]
         return np.array([top[0], top[1], math.log1p(float(np.count_nonzero(values > 2.0)))])

@@ -120,6 +120,39 @@ def test_learns_from_every_labelled_row_and_every_word(spark):
     assert toxicity.learn(docs, labels.limit(0)).weights.size == 0 == toxicity.learn(docs.limit(0), labels).weights.size
 
 
+def test_what_words_share_is_looked_up_once():
+    """Words with the same beginning ask for its evidence once, and frequent words outlive a full cache; the scores are those of a scorer that knows nothing yet."""
+
+    class Asked(dict):
+        n = 0
+
+        def get(self, *a):
+            Asked.n += 1
+            return super().get(*a)
+
+    model = toxicity.fit(*corpus())
+    model.evidence = Asked(model.evidence)
+    endings = ["".join(p) for p in itertools.product("abcdefghij", repeat=3)]
+    toxicity.Scorer(model).score(" ".join(f"gardening{e}" for e in endings))
+    assert Asked.n <= len(endings) + len(toxicity.PREFIXES)  # each word as a whole, the beginnings once
+    scorer = toxicity.Scorer(model, memo=200)
+    texts = [" ".join([*CLEAN, "id1ot", "idiot,", "g!", "x", "***", *(f"rarely{e}" for e in endings[i : i + 5])]) for i in range(0, 1000, 5)]
+    Asked.n = 0
+    got = [scorer.score(t) for t in texts]
+    assert Asked.n < 2 * len(endings) + 200
+    assert got == [toxicity.Scorer(model).score(t) for t in texts] and min(got) > 0.9
+
+
+def test_evidence_of_a_chunk_is_the_greatest_of_its_units():
+    model = toxicity.fit(*corpus())
+    scorer = toxicity.Scorer(model)
+    for chunk in ("idiot", "idiots", "idiotic", "idiotically", "idi", "garden", "«idiot»", "idiot!", "id1ot", "!d1ot", "idiooot", "idiot-garden", "x", "1", "ß", "...", "70553", "漢字", "aaa", "\ud800"):
+        words = model.restore(chunk)
+        want = max((model.evidence.get(u, 0.0) for w in words for u in [w + "$", *(w[:k] for k in toxicity.PREFIXES if len(w) >= k)]), default=0.0)
+        assert abs(scorer.known[chunk]) == max(want, 0.0), chunk
+        assert np.signbit(scorer.known[chunk]) == (chunk in ("x", "1", "ß")), chunk
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     got = QUERIES["op7_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id").collect()
