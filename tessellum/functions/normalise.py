@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ RELATIONS = ("prerequisite", "constraint", "failure_handling", "follow_up")
 
 def unfenced(raw: Column) -> Column:
     """JSON text without the code fence that models like to put around it."""
-    return strip(F.regexp_replace(strip(raw), r"(?is)^```(?:json)?\s*|\s*```$", ""))
+    return strip(F.regexp_replace(strip(raw), r"(?i)^```(?:json)?|```$", ""))
 
 
 def parsed(raw: Column) -> Column:
@@ -47,9 +49,17 @@ def _one_of(value: Column, allowed: tuple[str, ...], default: str) -> Column:
     return F.when(value.isin(*allowed), value).otherwise(default)
 
 
+def _once(v: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(v)`` with ``v`` computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(v), f), F.lit(0))
+
+
 def annotation(raw: Column) -> Column:
-    """Annotation struct of a model's JSON."""
-    v = parsed(raw)
+    """Annotation struct of a model's JSON, which is parsed once for all parts."""
+    return _once(parsed(raw), _annotation)
+
+
+def _annotation(v: Column) -> Column:
     truth = F.coalesce(_get(v, "$.has_code", "boolean"), F.coalesce(_get(v, "$.has_code", "string"), F.lit("")) != "")
     return F.struct(
         F.substring(F.coalesce(_get(v, "$.summary", "string"), F.lit("")), 1, 50).alias("summary"),
@@ -64,6 +74,10 @@ def annotation(raw: Column) -> Column:
 
 def edge(v: Column) -> Column:
     """Edge struct of a variant, or null: a number is no boolean, a boolean no number, and every part must be usable."""
+    return _once(v, _edge)
+
+
+def _edge(v: Column) -> Column:
     target, reason = (strip(F.coalesce(_get(v, p, "string"), F.lit(""))) for p in ("$.node_id", "$.reason"))
     relation, required = strip(F.coalesce(_get(v, "$.relation_type", "string"), F.lit(""))), _get(v, "$.required", "boolean")
     confidence = F.when(_kind(v, "$.confidence") != "BOOLEAN", _get(v, "$.confidence", "string").try_cast("double"))
@@ -82,15 +96,13 @@ def _first_text(v: Column, paths: tuple[str, ...]) -> Column:
 
 def rewrites(raw: Column, limit: int = 3) -> Column:
     """Other wordings of a question out of a model's JSON list (bare, or under ``queries``)."""
-    v = parsed(raw)
-    found = F.coalesce(_get(v, "$", "array<string>"), _get(v, "$.queries", "array<string>"), F.array().cast("array<string>"))
+    found = _once(parsed(raw), lambda v: F.coalesce(_get(v, "$", "array<string>"), _get(v, "$.queries", "array<string>"), F.array().cast("array<string>")))
     return F.slice(F.filter(F.transform(found, strip), lambda t: t != ""), 1, limit)
 
 
 def rerank_scores(raw: Column) -> Column:
     """Map of node to score: rows without an id are skipped, the last of a node wins, no score counts as 0."""
-    v = parsed(raw)
-    rows = F.coalesce(_get(v, "$.scores", "array<variant>"), _get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
+    rows = _once(parsed(raw), lambda v: F.coalesce(_get(v, "$.scores", "array<variant>"), _get(v, "$", "array<variant>"), F.array().cast("array<variant>")))
     pairs = F.filter(F.transform(rows, lambda r: F.struct(_get(r, "$.node_id", "string").alias("k"), F.coalesce(_get(r, "$.score", "double"), F.lit(0.0)).alias("v"))), lambda p: F.coalesce(p.k, F.lit("")) != "")
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda q: q.k == p.k))
     return F.map_from_entries(last)

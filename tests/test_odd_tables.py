@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessellum import queries
-from tessellum.functions import tokens
+from tessellum.functions import normalise, tokens
 from tessellum.operators import bm25, chunker
 
 from test_queries import plain
@@ -38,6 +38,12 @@ def test_odd_rows(spark, odd, name):
     assert sorted(repr([plain(x[c]) for c in columns]) for x in found.collect()) == sorted(repr([plain(x[names.index(c)]) for c in columns]) for x in r.fetchall())
 
 
+def test_answers_are_parsed_once(spark):
+    raw = spark.createDataFrame([('{"summary": "s"}',)], "raw string")
+    plan = raw.select(normalise.annotation(F.col("raw")).alias("a")).select("a.summary", "a.keywords", "a.type")._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("parse_json") + plan.count("parsejson") == 1, plan
+
+
 def test_long_runs_of_letters_take_linear_time():
     began = time.process_time()
     assert chunker.token_size("a" * 40_000) == 1 and tokens.cut("a" * 40_000) == ["a" * 40_000]
