@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
@@ -11,10 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import discard, shared_dir, stored  # noqa: F401  (the operators take them from here)
-
-
-BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+from ..storage import BATCH_BYTES, bounded, discard, shared_dir, stored, tidied  # noqa: F401  (the operators take them from here)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,31 +22,13 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def tidied(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``fn`` for ``mapInArrow``; a worker, which serves further tasks, gives back what it has freed."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            yield from fn(batches)
-        finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # glibc alone has it
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-
-    return run
-
-
 def map_batches(df: DataFrame, columns: list[str], fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` over exactly ``columns``, so that nothing else leaves the scan.
 
     Batches are bounded by bytes too, unless the session says otherwise: many long texts
     are several batches, and one text of any length is one.
     """
-    conf = df.sparkSession.conf
-    if BATCH_BYTES not in conf.getAll:
-        conf.set(BATCH_BYTES, "8m")
-    return df.select(*columns).mapInArrow(tidied(fn), schema)
+    return bounded(df).select(*columns).mapInArrow(tidied(fn), schema)
 
 
 class Memo(dict):
